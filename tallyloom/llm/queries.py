@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import cuckoo, line_dedup, mixing, simhash
+from tallyloom.llm import cuckoo, line_dedup, mixing, pieces, quality, simhash
 from tallyloom.llm.base import saved, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -34,6 +34,19 @@ FROM marked GROUP BY row_no, doc_id
 """
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of each whole text; exact: whether decoding them gave the text back."""
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "exact")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -90,6 +103,8 @@ FROM hashed JOIN kept USING (text_sha256)
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
