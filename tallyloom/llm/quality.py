@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm.base import saved
 
 BITS, ORDERS = 18, (1, 2, 3)
+#: The n-grams of 2 to REPEATS + 1 equal words, whatever the word, have places of their own.
+REPEATS = 3
 SAMPLE, FOLDS, SEED = 20_000, 5, 7
 COST, EPOCHS, SMOOTHING = 1.0, 12, 1.0
 THRESHOLD = 0.3
@@ -55,6 +57,13 @@ def places(text: bytes | None, mask: np.ndarray) -> np.ndarray:
             code = (code[: len(part) - n + 1] << np.uint32(8)) | part[n - 1 :]
             if n in ORDERS:
                 mask[((code + np.uint32(n << 24)) * np.uint32(2654435769)) >> np.uint32(32 - BITS)] = True
+    words = (text or b"").split()
+    again = [a == b for a, b in zip(words, words[1:], strict=False)]
+    for n in range(1, REPEATS + 1):
+        if not any(again):
+            break
+        mask[n] = True
+        again = [a and b for a, b in zip(again, again[1:], strict=False)]
     found = np.flatnonzero(mask)
     mask[found] = False
     return found.astype(np.int32)
@@ -90,13 +99,11 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """min |w|^2/2 + sum_i c_i max(0, 1 - y_i (w . x_i + b)): one dual variable after another.
+    """min |w|^2/2 + cost * sum_i max(0, 1 - y_i (w . x_i + b)): one dual variable after another.
 
-    The offset is the weight of a feature that is always 1; the classes cost alike in sum.
+    The offset is the weight of a feature that is always 1.
     """
     y = np.where(labels == 1, 1.0, -1.0)
-    share = np.where(labels == 1, (labels == 1).mean(), (labels == 0).mean())
-    most = cost * 0.5 / share
     weights, offset = np.zeros(1 << BITS), 0.0
     alpha = np.zeros(len(rows))
     length = np.array([float(v @ v) + 1.0 for v in values])
@@ -105,7 +112,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], la
         changed = 0.0
         for i in rng.permutation(len(rows)):
             gradient = y[i] * (float(weights[rows[i]] @ values[i]) + offset) - 1.0
-            new = min(max(alpha[i] - gradient / length[i], 0.0), most[i])
+            new = min(max(alpha[i] - gradient / length[i], 0.0), cost)
             step = (new - alpha[i]) * y[i]
             if step:
                 alpha[i] = new
