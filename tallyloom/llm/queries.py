@@ -2,15 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import cuckoo, line_dedup, mixing, pieces, quality, simhash
+from tallyloom.llm import cuckoo, license_scan, line_dedup, mixing, pieces, quality, secret_ledger, simhash
 from tallyloom.llm.base import saved, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _found_of_kind(kind: str) -> Column:
+    return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, findings = secret_ledger.update(table(spark, sf_dir, "documents"), path_col="doc_id", content_col="text")
+    counts = [_found_of_kind(k).alias(f"n_{k}") for k in secret_ledger.BASE_KINDS]
+    base = F.filter("found", lambda s: s["kind_no"] < len(secret_ledger.BASE_KINDS))
+    return findings.select(F.col("path").alias("doc_id"), *counts, F.sha2(secret_ledger.span_text(base), 256).alias("base_sha256"), secret_ledger.span_text(F.col("found")).alias("spans"))
+
+
+def _op1_sql() -> str:
+    parts = []
+    for number, rule in enumerate(secret_ledger.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT row_no, {number} AS kind_no, '{rule.kind}' AS kind,
+         unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+           'start': CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+           'size': length(m[i]), 'part': length(g[i])}})) AS s
+  FROM (SELECT row_no, string_split_regex(body, '{pattern}') AS p, regexp_extract_all(body, '{pattern}', 0) AS m, regexp_extract_all(body, '{pattern}', {rule.part}) AS g
+        FROM bodies WHERE regexp_matches(body, '{pattern}'))""")
+    least = " ".join(f"WHEN {i} THEN {max(r.least, 1)}" for i, r in enumerate(secret_ledger.RULES))
+    return f"""
+WITH bodies AS (SELECT doc_id, row_number() OVER () AS row_no, coalesce(text, '') AS body FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+spans AS (
+  SELECT row_no, kind_no, kind, s.start AS start, kind || ':' || s.start || ':' || (s.start + s.size) AS span
+  FROM found WHERE s.part >= CASE kind_no {least} END
+)
+SELECT doc_id, count(span) FILTER (WHERE kind = 'assign') AS n_assign, count(span) FILTER (WHERE kind = 'access') AS n_access, count(span) FILTER (WHERE kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, kind_no) FILTER (WHERE kind_no < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, kind_no), '') AS spans
+FROM bodies LEFT JOIN spans USING (row_no) GROUP BY row_no, doc_id
+"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -47,6 +84,39 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def _op6_sql() -> str:
+    templates = ", ".join(f"({i}, '{label}', list_distinct(string_split('{words}', ' ')))" for i, (label, words) in enumerate(license_scan.TEMPLATES))
+    phrases = ", ".join(f"('{label}', string_split('{phrase}', ' '))" for phrase, label in license_scan.PHRASES)
+    word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+    return f"""
+WITH bodies AS (SELECT doc_id, row_number() OVER () AS row_no, {_LOWER} AS body FROM documents),
+texts AS (SELECT *, regexp_extract_all(body, {word}) AS words FROM bodies),
+templates(template, label, own) AS (VALUES {templates}),
+phrases(label, parts) AS (VALUES {phrases}),
+places AS (
+  SELECT row_no, label, unnest(list_filter(range(0, greatest(len(words) - len(parts) + 1, 0)), lambda i: words[i + 1:i + len(parts)] = parts)) AS place
+  FROM texts CROSS JOIN phrases
+), base AS (
+  SELECT row_no, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY row_no
+), blocks AS (
+  SELECT row_no, list_distinct(regexp_extract_all(line, {word})) AS own FROM (SELECT row_no, unnest(string_split(body, chr(10))) AS line FROM bodies)
+), contained AS (
+  SELECT row_no, label, len(list_intersect(b.own, t.own)) / len(t.own)::DOUBLE AS score FROM blocks b CROSS JOIN templates t
+), labelled AS (
+  SELECT row_no, label, score FROM contained WHERE score >= {license_scan.CONTAINMENT} UNION ALL SELECT row_no, label, 1.0::DOUBLE FROM places
+), total AS (
+  SELECT row_no, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM labelled GROUP BY row_no
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM texts LEFT JOIN base USING (row_no) LEFT JOIN total USING (row_no)
+"""
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -102,14 +172,18 @@ FROM hashed JOIN kept USING (text_sha256)
 """
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_license_scan": op6_license_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op1_secret_scan": _op1_sql(),
+    "op6_license_scan": _op6_sql(),
     "op2_line_dedup": OP2_SQL,
     "op9_mixing": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
