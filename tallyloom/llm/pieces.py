@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +41,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: What the unigram kind of the library subtracts from the least score for an unknown character.
 UNKNOWN_PENALTY = 10.0
-CACHED_UNITS, CACHED_LENGTH = 200_000, 48
-#: Texts are encoded together up to so many characters.
-TOGETHER = 2_000_000
+CACHED_UNITS, CACHED_LENGTH = 150_000, 48
+#: Texts are encoded together up to so many bytes.
+TOGETHER = 1_500_000
 _LITERAL = b"\xff"  # stands for a word mark of the text; no piece holds this byte
 _UNIT = re.compile(r" *[^ \n]+|\n| +")
 
@@ -260,15 +261,15 @@ def _encoder(vocabulary: Vocabulary) -> Encoder:
     return _encoders[key]
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(sizes):
+        size += n
         if size >= TOGETHER:
             yield at, i + 1
             at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 def _encode_batches(shared):
@@ -276,7 +277,7 @@ def _encode_batches(shared):
         encoder = _encoder(shared.value)
         for batch in batches:
             column = batch.column("text")
-            for a, b in _parts(column.to_pylist()):
+            for a, b in _parts(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
                 texts = column.slice(a, b - a).to_pylist()
                 ids = encoder.encode(texts)
                 exact = [encoder.decode(i) == (t or "").encode() for i, t in zip(ids, texts, strict=True)]
