@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import cuckoo, license_scan, line_dedup, mixing, pieces, quality, secret_ledger, simhash
+from tallyloom.llm import ann, cuckoo, license_scan, line_dedup, mixing, pieces, quality, secret_ledger, simhash, warc
 from tallyloom.llm.base import saved, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -71,6 +71,20 @@ FROM marked GROUP BY row_no, doc_id
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(warc.planned(table(spark, sf_dir, "pages")))
+    return warc.read_archives(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+grouped AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM hashed),
+typed AS (SELECT *, payload_bytes >= 1000 AND keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper AS again FROM grouped)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keeper END AS refers_to
+FROM typed
+"""
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of each whole text; exact: whether decoding them gave the text back."""
     coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -122,6 +136,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = saved(mixing.sized_documents(table(spark, sf_dir, "documents")), "mix-sizes")
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
@@ -174,14 +192,17 @@ FROM hashed JOIN kept USING (text_sha256)
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
+    "op3_warc": op3_warc,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_license_scan": op6_license_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op3_warc": OP3_SQL,
     "op1_secret_scan": _op1_sql(),
     "op6_license_scan": _op6_sql(),
     "op2_line_dedup": OP2_SQL,
