@@ -50,7 +50,8 @@ def adjusted(df: DataFrame, method: str = "fdr_bh", p_col: str = "p_value", id_c
     up = Window.partitionBy().orderBy("_p", id_col)
     t = t.withColumn("_n", F.count("*").over(everything).cast("double")).withColumn("_rank", F.row_number().over(up).cast("double"))
     n, rank = F.col("_n"), F.col("_rank")
-    from_top = up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the largest p down: a frame that only grows takes one pass, one that shrinks would start anew for each row
+    from_top = Window.partitionBy().orderBy(F.desc("_p"), F.desc(id_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     so_far = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     left = n - rank + 1
     step = F.least(one, F.min(p * n / rank).over(from_top))

@@ -17,8 +17,9 @@ def volcano(tests: DataFrame, q_threshold: float = Q, effect_threshold: float =
 
     Zeros among q become the smallest positive q (missing if there is none).
     """
-    least = tests.agg(F.min(F.when(F.col("q_value") > 0, F.col("q_value"))).alias("least"))
-    t = tests.crossJoin(F.broadcast(least)).withColumn("q_value", F.when(F.col("q_value") == 0, F.col("least")).otherwise(F.col("q_value")))
+    # over the gene table, so that the tests are made once
+    least = F.min(F.when(F.col("q_value") > 0, F.col("q_value"))).over(Window.partitionBy())
+    t = tests.withColumn("q_value", F.when(F.col("q_value") == 0, least).otherwise(F.col("q_value")))
     q, effect = F.col("q_value"), F.col("effect_size")
     colour = F.when((q < q_threshold) & (effect > effect_threshold), "red").when((q < q_threshold) & (effect < -effect_threshold), "blue").otherwise("grey")
     return t.select("gene_id", "effect_size", "q_value", (-F.log10(q)).alias("neg_log10_q"), colour.alias("colour"))

@@ -29,13 +29,14 @@ def _total(cells: DataFrame) -> DataFrame:
     return cells.agg(F.sum("ti").alias("total"), F.count("*").alias("nc"))
 
 
-def _pairs(cells: DataFrame, genes: DataFrame, small_genes: int) -> DataFrame:
-    """Each different total against each gene, with p; genes: gene_id, tj, exp_size.
+def few_genes(matrix: CountMatrix, most: int = SMALL_GENES) -> bool:
+    """Whether the gene table, which bounds all tables of kept genes, is small enough to go to all tasks."""
+    return matrix.genes.count() <= most
 
-    Only where both counts have been looked at: the smaller of the two goes to all tasks.
-    """
+
+def _pairs(cells: DataFrame, genes: DataFrame, few: bool) -> DataFrame:
+    """Each different total against each gene, with p; genes: gene_id, tj, exp_size."""
     spread = depths(cells).crossJoin(F.broadcast(_total(cells)))
-    few = genes.limit(small_genes + 1).count() <= small_genes
     if few:
         # a small table of totals must still use all cores
         spread = spread.repartition(spread.sparkSession.sparkContext.defaultParallelism)
@@ -44,15 +45,15 @@ def _pairs(cells: DataFrame, genes: DataFrame, small_genes: int) -> DataFrame:
     return spread.crossJoin(genes).withColumn("p", p)
 
 
-def expected_by_gene(cells: DataFrame, genes: DataFrame, small_genes: int = SMALL_GENES) -> DataFrame:
+def expected_by_gene(cells: DataFrame, genes: DataFrame, few: bool) -> DataFrame:
     """gene_id, p_sum, pq_sum: sums over all cells of p and of p (1 - p). cells: cell_id, ti."""
     p, k = F.col("p"), F.col("cells")
-    return _pairs(cells, genes.select("gene_id", "tj", "exp_size"), small_genes).groupBy("gene_id").agg(F.sum(k * p).alias("p_sum"), F.sum(k * (p - p * p)).alias("pq_sum"))
+    return _pairs(cells, genes.select("gene_id", "tj", "exp_size"), few).groupBy("gene_id").agg(F.sum(k * p).alias("p_sum"), F.sum(k * (p - p * p)).alias("pq_sum"))
 
 
-def expected_by_cell(cells: DataFrame, genes: DataFrame, small_genes: int = SMALL_GENES) -> DataFrame:
+def expected_by_cell(cells: DataFrame, genes: DataFrame, few: bool) -> DataFrame:
     """cell_id, p_sum: the sum over all genes, made once for each different total."""
-    by_depth = _pairs(cells, genes.select("gene_id", "tj", "exp_size"), small_genes).groupBy("ti").agg(F.sum("p").alias("p_sum"))
+    by_depth = _pairs(cells, genes.select("gene_id", "tj", "exp_size"), few).groupBy("ti").agg(F.sum("p").alias("p_sum"))
     return cells.select("cell_id", "ti").join(by_depth, "ti").select("cell_id", "p_sum")
 
 
@@ -60,7 +61,8 @@ def expected_dropout(matrix: CountMatrix, fit: DataFrame | None = None) -> tuple
     """(gene_id, p_sum, pq_sum; cell_id, p_sum) under the smoothed sizes."""
     fit = fit_dispersion(matrix) if fit is None else fit
     genes, cells = smoothed(fit, fit_trend(fit), 0.0), cell_stats(matrix)
-    return expected_by_gene(cells, genes), expected_by_cell(cells, genes)
+    few = few_genes(matrix)
+    return expected_by_gene(cells, genes, few), expected_by_cell(cells, genes, few)
 
 
 def dropout_z(matrix: CountMatrix, fit: DataFrame | None = None) -> DataFrame:
@@ -68,7 +70,7 @@ def dropout_z(matrix: CountMatrix, fit: DataFrame | None = None) -> DataFrame:
     fit = fit_dispersion(matrix) if fit is None else fit
     cells = cell_stats(matrix)
     genes = smoothed(fit, fit_trend(fit), None)
-    sums = expected_by_gene(cells, genes).crossJoin(F.broadcast(_total(cells).select("nc")))
+    sums = expected_by_gene(cells, genes, few_genes(matrix)).crossJoin(F.broadcast(_total(cells).select("nc")))
     t = fit.select("gene_id", "dj").join(sums, "gene_id")
     nc = F.col("nc").cast("double")
     t = t.select("gene_id", (F.col("dj") / nc).alias("observed"), (F.col("p_sum") / nc).alias("expected"), (F.col("pq_sum") / (nc * nc)).alias("var_expected"), nc.alias("nc"))
@@ -102,7 +104,7 @@ def compare_models(matrix: CountMatrix, fit: DataFrame | None = None) -> DataFra
     fit = fit_dispersion(matrix) if fit is None else fit
     cells = cell_stats(matrix)
     whole = _total(cells)
-    adjusted_sums = expected_by_gene(cells, smoothed(fit, fit_trend(fit), 0.0)).select("gene_id", "p_sum")
+    adjusted_sums = expected_by_gene(cells, smoothed(fit, fit_trend(fit), 0.0), few_genes(matrix)).select("gene_id", "p_sum")
     basic = fit_basic(matrix)
     flat = smoothed(basic, fit_trend(basic), 0.0).crossJoin(F.broadcast(whole))
     p = dropout(F.col("tj"), F.col("total") / F.col("nc"), F.col("total"), F.col("exp_size"))

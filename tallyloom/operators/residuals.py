@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.guarded import whole
 from tallyloom.operators.depth import cell_stats
 from tallyloom.operators.dispersion import fit_dispersion
-from tallyloom.operators.dropout import SMALL_GENES, depths
+from tallyloom.operators.dropout import depths, few_genes
 from tallyloom.sources.matrix import CountMatrix
 
 #: The least denominator, and the number of sampled pairs.
@@ -43,9 +43,11 @@ def pearson_residuals(matrix: CountMatrix, fit: DataFrame | None = None) -> Data
     """
     fit = fit_dispersion(matrix) if fit is None else fit
     cells = cell_stats(matrix).select("cell_id", "ti")
-    dense = cells.crossJoin(fit.select("gene_id", "tj", "size"))
+    genes = fit.select("gene_id", "tj", "size")
+    dense = cells.crossJoin(F.broadcast(genes) if few_genes(matrix) else genes)
     stored = matrix.counts.select("cell_id", "gene_id", whole(F.col("x")).alias("x"))
-    return _residuals(dense.join(stored, ["cell_id", "gene_id"], "left").withColumn("x", F.coalesce("x", F.lit(0.0))), cells)
+    # the stored entries are the side to hash; the pairs, many times as many, need not be sorted
+    return _residuals(dense.join(stored.hint("shuffle_hash"), ["cell_id", "gene_id"], "left").withColumn("x", F.coalesce("x", F.lit(0.0))), cells)
 
 
 def stored_residuals(matrix: CountMatrix, fit: DataFrame | None = None) -> DataFrame:
@@ -61,7 +63,7 @@ def _residuals(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     return _with_mu(pairs, cells).select("cell_id", "gene_id", "x", approx_residual(F.col("x"), mu).alias("approx"), full_residual(F.col("x"), mu, F.col("size")).alias("full"))
 
 
-def residual_moments(matrix: CountMatrix, fit: DataFrame | None = None, small_genes: int = SMALL_GENES) -> DataFrame:
+def residual_moments(matrix: CountMatrix, fit: DataFrame | None = None) -> DataFrame:
     """gene_id, mean_x, and mean and variance (over all cells) of both residuals, without dense rows.
 
     A residual is (x - mu) / d. Its sums over all cells are those with x = 0 everywhere, which depend on
@@ -73,7 +75,7 @@ def residual_moments(matrix: CountMatrix, fit: DataFrame | None = None, small_ge
     mu, x, size = F.col("mu"), F.col("x"), F.col("size")
     both = {"approx": F.sqrt(mu), "full": F.sqrt(mu + mu * mu / size)}
 
-    few = genes.limit(small_genes + 1).count() <= small_genes
+    few = few_genes(matrix)
     spread = depths(cells)
     if few:
         spread = spread.repartition(spread.sparkSession.sparkContext.defaultParallelism)

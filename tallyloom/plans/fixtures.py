@@ -14,9 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _by_supplier(spark: SparkSession, sf_dir: str, gene, x) -> CountMatrix:
+def _by_supplier(spark: SparkSession, sf_dir: str, gene, x, genes: DataFrame | None = None) -> CountMatrix:
     counts = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cell_id"), gene.alias("gene_id")).agg(x.cast("double").alias("x"))
-    return CountMatrix(counts, _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell_id")), counts.select("gene_id").distinct())
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene_id"))
+    return CountMatrix(counts, _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell_id")), parts if genes is None else genes)
 
 
 def _by_customer(spark: SparkSession, sf_dir: str, x, where=None) -> CountMatrix:
@@ -40,7 +41,8 @@ def supplier_part_lines(spark, sf_dir):
 
 def supplier_part_flags(spark, sf_dir):
     """Ten times the quantities by part and return flag: many genes of high mean."""
-    return _by_supplier(spark, sf_dir, F.concat(F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_returnflag")), F.sum("l_quantity") * 10)
+    gene = F.concat(F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_returnflag"))
+    return _by_supplier(spark, sf_dir, gene, F.sum("l_quantity") * 10, _table(spark, sf_dir, "lineitem").select(gene.alias("gene_id")).distinct())
 
 
 def customer_parts(spark, sf_dir):
