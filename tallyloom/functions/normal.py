@@ -31,24 +31,25 @@ def erfc_sql(x: str) -> str:
     y, sq = f"abs({x})", f"({x} * {x})"
     near_top = _horner(f"{_number(ERF_TOP[4])} * {sq}", ERF_TOP[:3], ERF_TOP[3], sq)
     near_bottom = _horner(sq, ERF_BOTTOM[:3], ERF_BOTTOM[3], sq)
-    cut = f"(floor({y} * 16.0) / 16.0)"
+    # exponents keep the literals doubles: a decimal here would round
+    cut = f"(CAST(floor({y} * 16e0) AS DOUBLE) / 16e0)"
     decay = f"(exp(-{cut} * {cut}) * exp(-({y} - {cut}) * ({y} + {cut})))"
     mid = f"({decay} * {_horner(f'{_number(MID_TOP[8])} * {y}', MID_TOP[:7], MID_TOP[7], y)} / {_horner(y, MID_BOTTOM[:7], MID_BOTTOM[7], y)})"
-    inv = f"(1.0 / {sq})"
+    inv = f"(1e0 / {sq})"
     tail = f"({inv} * {_horner(f'{_number(FAR_TOP[5])} * {inv}', FAR_TOP[:4], FAR_TOP[4], inv)} / {_horner(inv, FAR_BOTTOM[:4], FAR_BOTTOM[4], inv)})"
     far = f"({decay} * ({_number(ROOT_PI)} - {tail}) / {y})"
     return (
         f"CASE WHEN isnan({x}) THEN CAST('NaN' AS DOUBLE)"
-        f" WHEN {y} <= 0.46875 THEN 1.0 - {x} * {near_top} / {near_bottom}"
-        f" WHEN {x} > 27.0 THEN CAST(0 AS DOUBLE) WHEN {x} < -6.0 THEN CAST(2 AS DOUBLE)"
-        f" WHEN {y} <= 4.0 THEN CASE WHEN {x} > 0 THEN {mid} ELSE 2.0 - {mid} END"
-        f" WHEN {x} > 0 THEN {far} ELSE 2.0 - {far} END"
+        f" WHEN {y} <= 0.46875e0 THEN 1e0 - {x} * {near_top} / {near_bottom}"
+        f" WHEN {x} > 27e0 THEN CAST(0 AS DOUBLE) WHEN {x} < -6e0 THEN CAST(2 AS DOUBLE)"
+        f" WHEN {y} <= 4e0 THEN CASE WHEN {x} > 0 THEN {mid} ELSE 2e0 - {mid} END"
+        f" WHEN {x} > 0 THEN {far} ELSE 2e0 - {far} END"
     )
 
 
 def normal_tail_sql(z: str) -> str:
     """P(Z > z); z must be a column name."""
-    return f"0.5 * ({erfc_sql(f'({z} / {_number(2**0.5)})')})"
+    return f"0.5e0 * ({erfc_sql(f'({z} / {_number(2**0.5)})')})"
 
 
 def normal_tail(z: str) -> Column:
