@@ -123,10 +123,12 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, containment: float =
     text = F.col(f"`{text_col}`")
     blocks = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")).alias("block", "line"))
     blocks = blocks.select("doc_id", "text_key", "block", F.split(spaced(F.col("line")), " ").alias("words"))
-    blocks = blocks.filter(F.arrays_overlap("words", F.array(*[F.lit(w) for w in prefix_words])))
+    # as a branch, not only as a filter: Spark may put a test of what follows before a filter
+    candidate = F.arrays_overlap("words", F.array(*[F.lit(w) for w in prefix_words]))
     every = F.array(*[F.lit(w) for w in order])
     ranked = F.array_sort(F.array_distinct(F.filter(F.transform("words", lambda w: F.array_position(every, w)), lambda r: r > 0)))
-    blocks = blocks.select("doc_id", "text_key", "block", ranked.alias("own"))
+    own = F.when(candidate, ranked).otherwise(F.array().cast("array<bigint>"))
+    blocks = blocks.select("doc_id", "text_key", "block", own.alias("own"))
     smallest = min(need for *_, need in sets)
     placed = blocks.filter(F.size("own") >= smallest).select("*", F.posexplode("own").alias("at", "word"))
     prefix = docs.sparkSession.createDataFrame(index, "word long, template int, label string, t_at int, t_size int, need int, t_own array<long>")
