@@ -58,15 +58,22 @@ RULES = (
 )
 BASE_KINDS = ("assign", "access", "hex")
 SPAN = "array<struct<start:int,kind_no:int,kind:string,stop:int>>"
+#: Matches that are gathered together.
+RUN = 256
 LEDGER = f"blob string, rules array<string>, found {SPAN}"
 
 
 def spans(text: Column, rule: Rule, number: int) -> Column:
-    """The spans of one rule: start and stop in code points, stop exclusive."""
+    """The spans of one rule: start and stop in code points, stop exclusive.
+
+    Spans are gathered in runs of ``RUN`` matches, so the work stays in proportion
+    to a text's matches however many it has.
+    """
     pieces = F.transform(F.split(text, rule.pattern, -1), F.length)
     whole = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
     part = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.part)), F.length) if rule.part else whole
     steps = F.arrays_zip(pieces.alias("piece"), whole.alias("whole"), part.alias("part"))
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["piece"]
@@ -76,9 +83,17 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
         found = F.when(x["part"] >= max(rule.least, 1), F.concat(acc["found"], here)).otherwise(acc["found"])
         return F.struct(F.coalesce(stop, acc["at"]).alias("at"), found.alias("found"))
 
-    none = F.array().cast(SPAN)
-    begin = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(steps, begin, step, lambda acc: acc["found"])).otherwise(none)
+    def walk(own: Column) -> Column:
+        def run(acc: Column, i: Column) -> Column:
+            begin = F.struct(acc["at"].alias("at"), none.alias("found"))
+            add = lambda r: F.struct(r["at"].alias("at"), F.concat(acc["found"], F.array(r["found"])).alias("found"))
+            return F.aggregate(F.slice(own, i * RUN + 1, RUN), begin, step, add)
+
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / RUN).cast("int")), begin, run, lambda acc: F.flatten(acc["found"]))
+
+    # an array of one: its element is made once and has a name in the walk
+    return F.when(text.rlike(rule.pattern), F.transform(F.array(steps), walk)[0]).otherwise(none)
 
 
 def addressed(versions: DataFrame, path_col: str, content_col: str) -> DataFrame:
