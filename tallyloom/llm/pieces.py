@@ -11,7 +11,8 @@ No piece has a word mark after another character and none holds a line feed (the
 vocabulary is checked for both), so no piece crosses the place before a run of
 spaces or around a line feed. The best segmentation of a text is therefore that
 of its units, and the automaton runs over many different units side by side, one
-array step for each position; units met before come from a bounded cache.
+array step for each position; units met before come from a bounded cache. Units
+with few of their length (text without spaces, say) go one by one.
 
 Encoding follows the file's settings: a dummy space in front, spaces kept as word
 marks, identity normalisation. A word mark that stands in the text itself goes to
@@ -29,7 +30,8 @@ the only columns read are the id, the text and, if there, one struct ``_rest``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +127,9 @@ class Automaton:
 
 
 class Encoder:
+    #: A step with fewer units goes byte by byte through plain numbers, as long units are few of a length.
+    FEW = 24
+
     def __init__(self, vocabulary: Vocabulary):
         self.auto = Automaton(vocabulary)
         self.byte_ids = np.array([vocabulary.byte_ids[b] for b in range(256)], np.int32)
@@ -165,7 +170,8 @@ class Encoder:
             while stop < len(order) and stop - at < 20_000 and (stop - at + 1) * len(coded[order[stop]]) <= 2_000_000 and len(coded[order[stop]]) <= len(coded[order[at]]) + 4:
                 stop += 1
             mine = order[at:stop]
-            for i, ids in zip(mine, self._viterbi([coded[i] for i in mine]), strict=True):
+            words = [coded[i] for i in mine]
+            for i, ids in zip(mine, self._viterbi(words) if len(words) >= self.FEW else map(self._viterbi_one, words), strict=True):
                 found[units[i]] = ids
             at = stop
 
@@ -231,7 +237,40 @@ class Encoder:
             result[r] = self._with_bytes(words[r], piece[:, r], start[:, r])
         return result
 
-    def _with_bytes(self, word: bytes, piece: np.ndarray, start: np.ndarray) -> bytes:
+    def _viterbi_one(self, word: bytes) -> bytes:
+        """The same for one unit: a link's piece relaxes the score of the position where it ends."""
+        auto = self.auto
+        goto, first, then, length, scores = (memoryview(x) for x in (auto.goto, auto.first, auto.then, auto.length, auto.score))
+        unknown, size, lowest = auto.unknown, len(word), float("-inf")
+        best = array("d", [0.0]) + array("d", [lowest]) * size
+        piece, start = array("i", [-1]) * (size + 1), array("i", [0]) * (size + 1)
+        state = head = 0
+        for t, byte in enumerate(word, 1):
+            if byte & 0xC0 != 0x80:
+                head = t - 1
+            state = goto[state, byte]
+            link, own, top, alone = state, first[state], lowest, False
+            if own >= 0:
+                while True:
+                    frm = t - length[own]
+                    score = best[frm] + scores[own]
+                    if score > top:
+                        top, piece[t], start[t] = score, own, frm
+                    if frm == head:
+                        alone = True
+                    link = then[link]
+                    if link <= 0:
+                        break
+                    own = first[link]
+            # a whole character that no piece stands for alone
+            if not alone and (t == size or word[t] & 0xC0 != 0x80):
+                score = best[head] + unknown
+                if score > top:
+                    top, piece[t], start[t] = score, -1, head
+            best[t] = top
+        return self._with_bytes(word, piece, start)
+
+    def _with_bytes(self, word: bytes, piece: Sequence[int], start: Sequence[int]) -> bytes:
         parts, at = [], len(word)
         while at > 0:
             frm = int(start[at])
