@@ -20,6 +20,18 @@ compared in a window of max_bits on either side. A cell with very many rows is
 cut into parts, and each pair of parts goes to a task of its own. From a cell
 only a spanning forest of its links leaves, never all its pairs.
 
+``near_copies`` groups by likeness instead: texts link when their five-word
+shingles, as sets, overlap (Jaccard) in 0.8 or more. Such texts differ in up to a
+dozen bits, and cells that lose no pair at that distance would be many thousands
+of keys a fingerprint. Its cells are keys of some bits chosen at random, so many
+that a pair differing in ``KEY_BITS`` bits shares a cell with chance ``RECALL``
+(nearer pairs: more) at every size of the input. In the cells pairs pass the
+pivot table and the fingerprints as above, and each that does is verified on the
+shingles of both whole texts. First each cell gives a spanning forest of its
+candidates, then, of the texts in any forest, the pairs that verified links have
+not joined yet; so a large group of near copies never gives all its pairs. Texts
+with one fingerprint are one node.
+
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer
 words than a shingle has: the whole sequence; no word or null: fingerprint zero,
 linked like any other. component_id is the smallest doc_id of the component (null
@@ -31,7 +43,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +51,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.base import saved
+from tallyloom.llm.base import same, saved
 from tallyloom.llm.components import components
 
 SHINGLE, MAX_BITS, SEED, PIVOTS = 3, 3, 42, 8
+#: Near copies: words of a shingle, least similarity, most differing bits of a candidate pair.
+NEAR_WORDS, SIMILARITY, CANDIDATE_BITS = 5, 0.8, 12
+#: Sampled cells bring a pair that differs in KEY_BITS bits together with chance RECALL.
+KEY_BITS, RECALL = 10, 0.95
+#: Texts whose shingles are handed on at once.
+GRAM_ROWS = 128
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 #: A cell with more rows is cut into parts of at most half as many.
@@ -131,6 +149,17 @@ def block_count(n: int, max_bits: int) -> int:
     return min(range(max_bits + 1, max_bits + 7), key=work)
 
 
+def sampled_masks(n: int, key_bits: int = KEY_BITS, recall: float = RECALL) -> list[int]:
+    """Masks of k random bits each: k by the least work, as many masks as the recall asks for."""
+
+    def tables(k: int) -> int:
+        return ceil(log(1 - recall) / log(1 - comb(64 - key_bits, k) / comb(64, k)))
+
+    k = min(range(4, 41), key=lambda k: tables(k) * (20 * n + n * n / 2 ** (k + 1)))
+    rng = np.random.default_rng(65)
+    return [sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in range(tables(k))]
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """For nodes 0..n-1 with links a-b (added to those behind ``label``), the smallest node of each component."""
     label = np.arange(n) if label is None else label
@@ -156,11 +185,16 @@ def near(prints: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, ma
     return live[np.bitwise_count(prints[a[live]] ^ prints[b[live]]) <= max_bits]
 
 
-def _links(prints: np.ndarray, group: np.ndarray, side: np.ndarray, refs: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges of all whole groups in the arrays. side: 0, 1 for a pair of parts of one cell (only 0-1 pairs meet), 2 for a whole."""
+def _links(
+    prints: np.ndarray, roots: np.ndarray, group: np.ndarray, side: np.ndarray, refs: np.ndarray, max_bits: int, every: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within all whole groups in the arrays: a forest of them, or every one between different roots.
+
+    side: 0, 1 for a pair of parts of one cell (only 0-1 pairs meet), 2 for a whole.
+    """
     table = pivot_table(prints, refs)
     order = np.lexsort((table[:, 0], group))
-    prints, group, side, table = prints[order], group[order], side[order], table[order]
+    prints, roots, group, side, table = prints[order], roots[order], group[order], side[order], table[order]
     n = len(prints)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, n])
@@ -179,27 +213,31 @@ def _links(prints: np.ndarray, group: np.ndarray, side: np.ndarray, refs: np.nda
         w = width[at:stop]
         a = np.repeat(np.arange(at, stop), w)
         b = a + 1 + (np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w))
-        meet = (side[a] != side[b]) | (side[a] == 2)
+        meet = ((side[a] != side[b]) | (side[a] == 2)) & (roots[a] != roots[b])
         a, b = a[meet], b[meet]
         hit = near(prints, table, a, b, max_bits)
-        label = _forest(n, a[hit], b[hit], label)
+        if every:
+            yield prints[a[hit]], prints[b[hit]]
+        else:
+            label = _forest(n, a[hit], b[hit], label)
         at = stop
-    moved = np.flatnonzero(label != np.arange(n))
-    return prints[moved], prints[label[moved]]
+    if not every:
+        moved = np.flatnonzero(label != np.arange(n))
+        yield prints[moved], prints[label[moved]]
 
 
-def _link_batches(max_bits: int, refs: np.ndarray):
+def _link_batches(max_bits: int, refs: np.ndarray, every: bool):
     """Rows come by cell; whole cells are taken together until there is enough to do at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts: list[tuple]) -> pa.RecordBatch:
-            a, b = _links(*(np.concatenate(x) for x in zip(*parts, strict=True)), refs, max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        def out(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for a, b in _links(*(np.concatenate(x) for x in zip(*parts, strict=True)), refs, max_bits, every):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         held: list[tuple] = []
         last, number, rows = None, 0, 0
         for batch in batches:
-            t, key, i, j, mine, bits = (batch.column(c).to_numpy() for c in ("t", "key", "i", "j", "mine", "print"))
+            t, key, i, j, mine, bits, roots = (batch.column(c).to_numpy() for c in ("t", "key", "i", "j", "mine", "print", "root"))
             new = np.r_[False, (np.diff(key) != 0) | (np.diff(t) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]
             new[0] = (t[0], key[0], i[0], j[0]) != last
             last = (t[-1], key[-1], i[-1], j[-1])
@@ -207,30 +245,38 @@ def _link_batches(max_bits: int, refs: np.ndarray):
             number = int(group[-1])
             side = np.where(i == j, 2, (mine == j).astype(np.int64))
             cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
-            values = (bits.view(np.uint64), group, side)
+            values = (bits.view(np.uint64), roots, group, side)
             if cut or new[0]:
                 held.append(tuple(x[:cut] for x in values))
                 rows += cut
                 if rows > 50_000 and any(len(h[0]) for h in held):
-                    yield out(held)
+                    yield from out(held)
                     held, rows = [], 0
                 held.append(tuple(x[cut:] for x in values))
             else:
                 held.append(values)
             rows += len(bits) - cut
         if held:
-            yield out(held)
+            yield from out(held)
 
     return run
 
 
-def near_links(prints: DataFrame, max_bits: int = MAX_BITS, refs: np.ndarray | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """a, b: links that join the distinct fingerprints (``print``, a written table) as all links would."""
+def near_links(
+    prints: DataFrame, max_bits: int = MAX_BITS, refs: np.ndarray | None = None, cell_rows: int = CELL_ROWS, masks: list[int] | None = None, every: bool = False
+) -> DataFrame:
+    """a, b: links that join the distinct fingerprints (``print``, a written table) as all links would.
+
+    The cells are those of ``masks``, by default those that lose no pair. With
+    ``every`` the links are all those between prints of different ``root``.
+    """
     refs = pivots() if refs is None else refs
     n = prints.count()
-    masks = block_masks(block_count(n, max_bits), max_bits)
+    masks = block_masks(block_count(n, max_bits), max_bits) if masks is None else masks
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    cells = prints.select("print", F.posexplode(F.array(*[F.col("print").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
+    rows = prints.select("print", F.col("root" if every else "print").alias("root"))
+    cells = rows.select("print", "root", F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("t", "mask"))
+    cells = cells.select("print", "root", "t", F.col("print").bitwiseAND(F.col("mask")).alias("key"))
     limit = max(cell_rows, n * len(masks) // 4096)
     # at most 4096 cells can be above the limit, so their list is bounded
     hot = [(r["t"], r["key"], r["count"]) for r in cells.groupBy("t", "key").count().filter(F.col("count") > limit).collect()]
@@ -240,21 +286,82 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, refs: np.ndarray | N
         n_parts = F.coalesce("parts", F.lit(1))
         mine = F.pmod(F.xxhash64("print"), n_parts).cast("int")
         cells = cells.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-        cells = cells.select("t", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "print")
+        cells = cells.select("t", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "print", "root")
     else:
         zero = F.lit(0)
-        cells = cells.select("t", "key", zero.alias("i"), zero.alias("j"), zero.alias("mine"), "print")
+        cells = cells.select("t", "key", zero.alias("i"), zero.alias("j"), zero.alias("mine"), "print", "root")
     where = ["t", "key", "i", "j"]
-    return cells.repartition(*where).sortWithinPartitions(*where).mapInArrow(_link_batches(max_bits, refs), "a long, b long")
+    return cells.repartition(*where).sortWithinPartitions(*where).mapInArrow(_link_batches(max_bits, refs, every), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
-    """doc_id, print, component_id for every row of ``docs`` (doc_id, text)."""
-    named = saved(fingerprints(docs, words, seed), "simhashes")
-    classes = saved(named.groupBy("print").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    stars = components(near_links(classes.select("print"), max_bits))
-    rooted = classes.join(stars, classes["print"] == stars["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
-    rooted = saved(rooted, "simhash-roots")
+def _gram_batches(words: int, print_words: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary())
+            for at in range(0, len(texts), GRAM_ROWS):
+                some = texts.slice(at, GRAM_ROWS).to_pylist()
+                prints = fingerprints_of(some, print_words, seed)
+                grams = [np.unique(np.array(shingle_hashes(t, words, seed), np.uint64).view(np.int64)) for t in some]
+                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(grams, pa.list_(pa.int64()))], ["print", "grams"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, similarity: float, print_words: int, seed: int) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of shingles overlap in ``similarity`` or more."""
+    nodes = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
+    ids = classes.join(nodes, "print", "left_semi").select(F.col("first_id").alias("_id"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(ids, same(F.col("doc_id"), F.col("_id")), "left_semi").select("text")
+    grams = texts.mapInArrow(_gram_batches(words, print_words, seed), "print long, grams array<long>")
+    grams = saved(grams.groupBy("print").agg(F.min("grams").alias("grams")), "simhash-grams")
+    left = grams.select(F.col("print").alias("a"), F.col("grams").alias("ga"))
+    right = grams.select(F.col("print").alias("b"), F.col("grams").alias("gb"))
+    na, nb, both = F.size("ga"), F.size("gb"), F.size(F.array_intersect("ga", "gb"))
+    lengths = F.least(na, nb) / F.greatest(na, nb, F.lit(1)) >= similarity
+    return pairs.join(left, "a").join(right, "b").filter(lengths).filter(both / F.greatest(na + nb - both, F.lit(1)) >= similarity).select("a", "b")
+
+
+def _grouped(named: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, print, component_id for every row of ``named``."""
+    rooted = saved(_rooted(classes, links), "simhash-roots")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = rooted.join(ids, "root").select("print", "component_id")
     return named.join(members, "print").select("doc_id", "print", "component_id")
+
+
+def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
+    stars = components(links)
+    return classes.join(stars, classes["print"] == stars["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
+
+
+def _classes(docs: DataFrame, words: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    named = saved(fingerprints(docs, words, seed), "simhashes")
+    return named, saved(named.groupBy("print").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+
+
+def simhash_groups(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
+    """doc_id, print, component_id for every row of ``docs`` (doc_id, text)."""
+    named, classes = _classes(docs, words, seed)
+    return _grouped(named, classes, near_links(classes.select("print"), max_bits))
+
+
+def near_copies(
+    docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, max_bits: int = CANDIDATE_BITS, print_words: int = SHINGLE, seed: int = SEED
+) -> DataFrame:
+    """doc_id, print, component_id for every row of ``docs`` (doc_id, text), linked by the likeness of their shingles."""
+    named, classes = _classes(docs, print_words, seed)
+    masks = sampled_masks(classes.count())
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return saved(_verified(pairs, docs, classes, words, similarity, print_words, seed), "simhash-verified")
+
+    forest = saved(near_links(classes.select("print"), max_bits, masks=masks).distinct(), "simhash-pairs")
+    found = links(forest)
+    met = forest.select(F.col("a").alias("print")).unionByName(forest.select(F.col("b").alias("print"))).distinct()
+    apart = saved(_rooted(classes.join(met, "print", "left_semi"), found).select("print", "root"), "simhash-apart")
+    rest = near_links(apart, max_bits, masks=masks, every=True)
+    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    seen = forest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = saved(rest.join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
+    return _grouped(named, classes, found.unionByName(links(rest)))

@@ -163,6 +163,76 @@ def test_simhash_documents(spark, sf_dir):
     assert groups(spark.createDataFrame(rows, "doc_id long, text string")) == plain_groups(rows)
 
 
+def plain_near(rows):
+    """(doc_id, smallest doc_id) by five-word shingle sets that overlap in 0.8 or more; texts of one fingerprint are one."""
+    texts = {}
+    for doc, print_, _ in plain_groups(rows, bits=0):
+        texts.setdefault(print_, []).append(doc)
+    of = dict(rows)
+    grams = {}
+    for p, ids in texts.items():
+        first = min((i for i in ids if i is not None), default=None)
+        words = re.findall(r"[^ \t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in of[first] or ""))
+        grams[p] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    root = {p: p for p in grams}
+    met = defaultdict(list)
+    for p, g in grams.items():
+        for x in g:
+            met[x].append(p)
+    for ps in met.values():
+        for a in ps:
+            for b in ps:
+                if root[a] != root[b] and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+                    old, new = root[a], root[b]
+                    root = {k: new if v == old else v for k, v in root.items()}
+    least = {}
+    for p, ids in texts.items():
+        least[root[p]] = min([i for i in [*ids, least.get(root[p])] if i is not None], default=None)
+    return sorted(((i, least[root[p]]) for p, ids in texts.items() for i in ids), key=repr)
+
+
+def near_groups(docs):
+    return sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_copies(docs.select("doc_id", "text")).collect()), key=repr)
+
+
+def test_near_copies_small(docs, none):
+    assert near_groups(docs) == plain_near([(d, t) for d, t, _ in DOCS])
+    assert near_groups(none) == []
+
+
+def test_near_copies_documents(spark):
+    rows = [(d["doc_id"], d["text"]) for d in documents("/root/testdata/sf0.01")]
+    assert near_groups(spark.createDataFrame(rows, "doc_id long, text string")) == plain_near(rows)
+
+
+def test_planted_near_copies(spark):
+    """Copies with a few changed words join their original, those with many do not; one original has very many."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, close, far = [], [], []
+    for base in range(41):
+        words = [vocabulary[i] for i in rng.integers(0, 3000, 300)]
+        first = len(rows)
+        rows.append((first, " ".join(words)))
+        for n in range(300 if base == 40 else 12):
+            changed = list(words)
+            for i in rng.choice(300, 60 if n % 4 == 3 else int(rng.integers(1, 6)), replace=False):
+                changed[i] = f"c{len(rows)}x{i}"
+            (far if n % 4 == 3 else close).append((len(rows), first))
+            rows.append((len(rows), " ".join(changed)))
+    group = dict(near_groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(group[d] == d for d, _ in far)
+    assert sum(group[d] == first for d, first in close) >= 0.99 * len(close)
+
+
+def test_sampled_cells_meet_the_recall():
+    for n in (0, 1, 1000, 10**6, 10**10):
+        masks = simhash.sampled_masks(n)
+        rng = np.random.default_rng(1)
+        flips = [sum(1 << int(b) for b in rng.choice(64, simhash.KEY_BITS, replace=False)) for _ in range(500)]
+        assert sum(any(f & m == 0 for m in masks) for f in flips) >= 0.92 * 500
+
+
 @pytest.mark.parametrize("cell_rows", [50, 100_000])
 def test_links_join_what_all_pairs_join(spark, cell_rows):
     rng = np.random.default_rng(2)

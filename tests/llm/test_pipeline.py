@@ -10,7 +10,7 @@ import corpus_pipeline
 from tallyloom.llm import pieces
 from tallyloom.llm.base import saved, table
 from tallyloom.llm.queries import OP9_SQL, QUERIES
-from tests.llm.test_operators import plain_groups, plain_lines
+from tests.llm.test_operators import plain_lines, plain_near
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +48,7 @@ def test_line_stage(stages):
 
 def test_near_copy_stage(stages):
     rows = [tuple(r) for r in stages[2].select("doc_id", "text").collect()]
-    assert ids(stages[3]) == sorted(d for d, _, c in plain_groups(rows) if d == c)
+    assert ids(stages[3]) == sorted(d for d, c in plain_near(rows) if d == c)
 
 
 def test_repeated_rows_leave_one(spark, sf_dir, stages):
