@@ -28,8 +28,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by their SimHash the document with the smallest doc_id stays."""
-    found = simhash.simhash_groups(docs.select("doc_id", "text"))
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    found = simhash.near_copies(docs.select("doc_id", "text"))
     # one row for each document that stays, whatever rows repeat
     stay = found.filter(same(F.col("doc_id"), F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("print"))
     first = docs.join(stay.select("_id"), same(docs["doc_id"], F.col("_id")), "left_semi")
