@@ -27,10 +27,12 @@ of keys a fingerprint. Its cells are keys of some bits chosen at random, so many
 that a pair differing in ``KEY_BITS`` bits shares a cell with chance ``RECALL``
 (nearer pairs: more) at every size of the input. In the cells pairs pass the
 pivot table and the fingerprints as above, and each that does is verified on the
-shingles of both whole texts. First each cell gives a spanning forest of its
-candidates, then, of the texts in any forest, the pairs that verified links have
-not joined yet; so a large group of near copies never gives all its pairs. Texts
-with one fingerprint are one node.
+shingles of both whole texts. A cell gives only spanning forests of its
+candidates, nearest first, so a large group of near copies never gives all its
+pairs: first by the fingerprints, then, for the texts in any of those forests,
+between groups not joined so far and by sketches, wider fingerprints of
+``SKETCH_WORDS`` times 64 bits over the set of five-word shingles. Texts with one
+fingerprint are one node.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer
 words than a shingle has: the whole sequence; no word or null: fingerprint zero,
@@ -59,6 +61,8 @@ SHINGLE, MAX_BITS, SEED, PIVOTS = 3, 3, 42, 8
 NEAR_WORDS, SIMILARITY, CANDIDATE_BITS = 5, 0.8, 12
 #: Sampled cells bring a pair that differs in KEY_BITS bits together with chance RECALL.
 KEY_BITS, RECALL = 10, 0.95
+#: 64-bit words of a sketch.
+SKETCH_WORDS = 8
 #: Texts whose shingles are handed on at once.
 GRAM_ROWS = 128
 #: Shingles whose bits are counted at once.
@@ -177,6 +181,44 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = Non
             label = up
 
 
+def sketch_of(grams: np.ndarray) -> np.ndarray:
+    """SKETCH_WORDS SimHashes of a set of hashes, each after a mixing of its own (splitmix64)."""
+    out = np.zeros(SKETCH_WORDS, np.uint64)
+    for w in range(SKETCH_WORDS):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(grams), CHUNK):
+            x = grams[at : at + CHUNK].view(np.uint64) + np.uint64((w + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            counts += np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        out[w] = np.packbits(counts * 2 > len(grams), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def _closest(n: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Indexes of links a-b that span what all span, the nearest first (a minimum spanning forest)."""
+    label = np.arange(n)
+    taken = [np.empty(0, np.int64)]
+    for d in np.unique(bits):
+        at = np.flatnonzero(bits == d)
+        while True:
+            la, lb = label[a[at]], label[b[at]]
+            apart = la != lb
+            at = at[apart]
+            if not len(at):
+                break
+            # each component takes one link to one with a smaller label, so no circle can close
+            high, pick = np.unique(np.maximum(la, lb)[apart], return_index=True)
+            hook = np.arange(n)
+            hook[high] = np.minimum(la, lb)[apart][pick]
+            while (hook[hook] != hook).any():
+                hook = hook[hook]
+            label = hook[label]
+            taken.append(at[pick])
+    return np.concatenate(taken)
+
+
 def near(prints: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
     """Which of the pairs a, b link: the pivot table first, the bits of the survivors after."""
     live = np.arange(len(a))
@@ -186,15 +228,15 @@ def near(prints: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, ma
 
 
 def _links(
-    prints: np.ndarray, roots: np.ndarray, group: np.ndarray, side: np.ndarray, refs: np.ndarray, max_bits: int, every: bool
+    prints: np.ndarray, roots: np.ndarray, sketches: np.ndarray, group: np.ndarray, side: np.ndarray, refs: np.ndarray, max_bits: int, give: str
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within all whole groups in the arrays: a forest of them, or every one between different roots.
+    """Links within all whole groups in the arrays, as ``give`` says (see ``near_links``).
 
     side: 0, 1 for a pair of parts of one cell (only 0-1 pairs meet), 2 for a whole.
     """
     table = pivot_table(prints, refs)
     order = np.lexsort((table[:, 0], group))
-    prints, roots, group, side, table = prints[order], roots[order], group[order], side[order], table[order]
+    prints, roots, sketches, group, side, table = (x[order] for x in (prints, roots, sketches, group, side, table))
     n = len(prints)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, n])
@@ -204,6 +246,9 @@ def _links(
     rank = np.repeat(np.arange(len(starts)), sizes) * 1024 + first
     ends = np.minimum(ends, np.searchsorted(rank, rank + max_bits, side="right"))
     label = np.arange(n)
+    span_a = span_b = np.empty(0, np.int64)
+    # rows of one root in one group are one node of the spanning forest
+    node = np.unique(group * n + np.unique(roots, return_inverse=True)[1], return_inverse=True)[1] if give == "closest" else label
     at = 0
     width = ends - np.arange(n) - 1
     budget = np.cumsum(width)
@@ -216,28 +261,33 @@ def _links(
         meet = ((side[a] != side[b]) | (side[a] == 2)) & (roots[a] != roots[b])
         a, b = a[meet], b[meet]
         hit = near(prints, table, a, b, max_bits)
-        if every:
-            yield prints[a[hit]], prints[b[hit]]
+        if give == "closest":
+            span_a, span_b = np.r_[span_a, a[hit]], np.r_[span_b, b[hit]]
+            span = _closest(n, node[span_a], node[span_b], np.bitwise_count(sketches[span_a] ^ sketches[span_b]).sum(1, dtype=np.int64))
+            span_a, span_b = span_a[span], span_b[span]
         else:
             label = _forest(n, a[hit], b[hit], label)
         at = stop
-    if not every:
+    if give == "closest":
+        yield prints[span_a], prints[span_b]
+    else:
         moved = np.flatnonzero(label != np.arange(n))
         yield prints[moved], prints[label[moved]]
 
 
-def _link_batches(max_bits: int, refs: np.ndarray, every: bool):
+def _link_batches(max_bits: int, refs: np.ndarray, give: str):
     """Rows come by cell; whole cells are taken together until there is enough to do at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for a, b in _links(*(np.concatenate(x) for x in zip(*parts, strict=True)), refs, max_bits, every):
+            for a, b in _links(*(np.concatenate(x) for x in zip(*parts, strict=True)), refs, max_bits, give):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         held: list[tuple] = []
         last, number, rows = None, 0, 0
         for batch in batches:
             t, key, i, j, mine, bits, roots = (batch.column(c).to_numpy() for c in ("t", "key", "i", "j", "mine", "print", "root"))
+            sketches = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(bits), -1)
             new = np.r_[False, (np.diff(key) != 0) | (np.diff(t) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]
             new[0] = (t[0], key[0], i[0], j[0]) != last
             last = (t[-1], key[-1], i[-1], j[-1])
@@ -245,7 +295,7 @@ def _link_batches(max_bits: int, refs: np.ndarray, every: bool):
             number = int(group[-1])
             side = np.where(i == j, 2, (mine == j).astype(np.int64))
             cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
-            values = (bits.view(np.uint64), roots, group, side)
+            values = (bits.view(np.uint64), roots, sketches, group, side)
             if cut or new[0]:
                 held.append(tuple(x[:cut] for x in values))
                 rows += cut
@@ -263,20 +313,24 @@ def _link_batches(max_bits: int, refs: np.ndarray, every: bool):
 
 
 def near_links(
-    prints: DataFrame, max_bits: int = MAX_BITS, refs: np.ndarray | None = None, cell_rows: int = CELL_ROWS, masks: list[int] | None = None, every: bool = False
+    prints: DataFrame, max_bits: int = MAX_BITS, refs: np.ndarray | None = None, cell_rows: int = CELL_ROWS, masks: list[int] | None = None, give: str = "star"
 ) -> DataFrame:
     """a, b: links that join the distinct fingerprints (``print``, a written table) as all links would.
 
-    The cells are those of ``masks``, by default those that lose no pair. With
-    ``every`` the links are all those between prints of different ``root``.
+    The cells are those of ``masks``, by default those that lose no pair. A cell
+    gives, by ``give``, "star": from each print to the smallest it is joined with;
+    "closest": a spanning forest of its links, nearest first. If there are columns
+    ``root`` and ``sketch`` (array<long>), rows of one root are joined already, and
+    the sketches tell which links are nearest.
     """
     refs = pivots() if refs is None else refs
     n = prints.count()
     masks = block_masks(block_count(n, max_bits), max_bits) if masks is None else masks
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    rows = prints.select("print", F.col("root" if every else "print").alias("root"))
-    cells = rows.select("print", "root", F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("t", "mask"))
-    cells = cells.select("print", "root", "t", F.col("print").bitwiseAND(F.col("mask")).alias("key"))
+    known = "root" in prints.columns
+    rows = prints.select("print", F.col("root" if known else "print").alias("root"), F.col("sketch") if known else F.array("print").alias("sketch"))
+    cells = rows.select("print", "root", "sketch", F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("t", "mask"))
+    cells = cells.select("print", "root", "sketch", "t", F.col("print").bitwiseAND(F.col("mask")).alias("key"))
     limit = max(cell_rows, n * len(masks) // 4096)
     # at most 4096 cells can be above the limit, so their list is bounded
     hot = [(r["t"], r["key"], r["count"]) for r in cells.groupBy("t", "key").count().filter(F.col("count") > limit).collect()]
@@ -286,12 +340,12 @@ def near_links(
         n_parts = F.coalesce("parts", F.lit(1))
         mine = F.pmod(F.xxhash64("print"), n_parts).cast("int")
         cells = cells.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-        cells = cells.select("t", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "print", "root")
+        cells = cells.select("t", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "print", "root", "sketch")
     else:
         zero = F.lit(0)
-        cells = cells.select("t", "key", zero.alias("i"), zero.alias("j"), zero.alias("mine"), "print", "root")
+        cells = cells.select("t", "key", zero.alias("i"), zero.alias("j"), zero.alias("mine"), "print", "root", "sketch")
     where = ["t", "key", "i", "j"]
-    return cells.repartition(*where).sortWithinPartitions(*where).mapInArrow(_link_batches(max_bits, refs, every), "a long, b long")
+    return cells.repartition(*where).sortWithinPartitions(*where).mapInArrow(_link_batches(max_bits, refs, give), "a long, b long")
 
 
 def _gram_batches(words: int, print_words: int, seed: int):
@@ -302,19 +356,28 @@ def _gram_batches(words: int, print_words: int, seed: int):
                 some = texts.slice(at, GRAM_ROWS).to_pylist()
                 prints = fingerprints_of(some, print_words, seed)
                 grams = [np.unique(np.array(shingle_hashes(t, words, seed), np.uint64).view(np.int64)) for t in some]
-                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(grams, pa.list_(pa.int64()))], ["print", "grams"])
+                sketches = [sketch_of(g).view(np.int64) for g in grams]
+                lists = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(grams, lists), pa.array(sketches, lists)], ["print", "grams", "sketch"])
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, similarity: float, print_words: int, seed: int) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of shingles overlap in ``similarity`` or more."""
-    nodes = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
+def _both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
+
+
+def _grams(nodes: DataFrame, docs: DataFrame, classes: DataFrame, words: int, print_words: int, seed: int) -> DataFrame:
+    """print, grams (the set of its text's shingles) and sketch of the fingerprints in ``nodes``."""
     ids = classes.join(nodes, "print", "left_semi").select(F.col("first_id").alias("_id"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     texts = texts.join(ids, same(F.col("doc_id"), F.col("_id")), "left_semi").select("text")
-    grams = texts.mapInArrow(_gram_batches(words, print_words, seed), "print long, grams array<long>")
-    grams = saved(grams.groupBy("print").agg(F.min("grams").alias("grams")), "simhash-grams")
+    found = texts.mapInArrow(_gram_batches(words, print_words, seed), "print long, grams array<long>, sketch array<long>")
+    return found.groupBy("print").agg(F.min("grams").alias("grams"), F.min("sketch").alias("sketch"))
+
+
+def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles overlap in ``similarity`` or more."""
     left = grams.select(F.col("print").alias("a"), F.col("grams").alias("ga"))
     right = grams.select(F.col("print").alias("b"), F.col("grams").alias("gb"))
     na, nb, both = F.size("ga"), F.size("gb"), F.size(F.array_intersect("ga", "gb"))
@@ -353,15 +416,14 @@ def near_copies(
     named, classes = _classes(docs, print_words, seed)
     masks = sampled_masks(classes.count())
 
-    def links(pairs: DataFrame) -> DataFrame:
-        return saved(_verified(pairs, docs, classes, words, similarity, print_words, seed), "simhash-verified")
-
-    forest = saved(near_links(classes.select("print"), max_bits, masks=masks).distinct(), "simhash-pairs")
-    found = links(forest)
-    met = forest.select(F.col("a").alias("print")).unionByName(forest.select(F.col("b").alias("print"))).distinct()
-    apart = saved(_rooted(classes.join(met, "print", "left_semi"), found).select("print", "root"), "simhash-apart")
-    rest = near_links(apart, max_bits, masks=masks, every=True)
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    seen = forest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = saved(rest.join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
-    return _grouped(named, classes, found.unionByName(links(rest)))
+    def candidates(prints: DataFrame) -> DataFrame:
+        pairs = near_links(prints, max_bits, masks=masks, give="closest")
+        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    first = saved(candidates(classes.select("print")), "simhash-pairs")
+    grams = saved(_grams(_both_ends(first), docs, classes, words, print_words, seed), "simhash-grams")
+    found = saved(_verified(first, grams, similarity), "simhash-verified")
+    apart = saved(_rooted(classes, found).join(grams.select("print", "sketch"), "print").select("print", "root", "sketch"), "simhash-apart")
+    second = candidates(apart).join(first, ["a", "b"], "left_anti")
+    rest = saved(_verified(saved(second, "simhash-pairs"), grams, similarity), "simhash-verified")
+    return _grouped(named, classes, found.unionByName(rest))
