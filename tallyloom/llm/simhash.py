@@ -258,7 +258,9 @@ def _links(
         w = width[at:stop]
         a = np.repeat(np.arange(at, stop), w)
         b = a + 1 + (np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w))
-        meet = ((side[a] != side[b]) | (side[a] == 2)) & (roots[a] != roots[b])
+        meet = (side[a] != side[b]) | (side[a] == 2)
+        if give == "closest":
+            meet &= roots[a] != roots[b]
         a, b = a[meet], b[meet]
         hit = near(prints, table, a, b, max_bits)
         if give == "closest":
@@ -286,8 +288,11 @@ def _link_batches(max_bits: int, refs: np.ndarray, give: str):
         held: list[tuple] = []
         last, number, rows = None, 0, 0
         for batch in batches:
-            t, key, i, j, mine, bits, roots = (batch.column(c).to_numpy() for c in ("t", "key", "i", "j", "mine", "print", "root"))
-            sketches = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(bits), -1)
+            t, key, i, j, mine, bits = (batch.column(c).to_numpy() for c in ("t", "key", "i", "j", "mine", "print"))
+            roots, sketches = bits, bits.view(np.uint64)[:, None]
+            if "root" in batch.schema.names:
+                roots = batch.column("root").to_numpy()
+                sketches = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(bits), -1)
             new = np.r_[False, (np.diff(key) != 0) | (np.diff(t) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]
             new[0] = (t[0], key[0], i[0], j[0]) != last
             last = (t[-1], key[-1], i[-1], j[-1])
@@ -327,10 +332,8 @@ def near_links(
     n = prints.count()
     masks = block_masks(block_count(n, max_bits), max_bits) if masks is None else masks
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    known = "root" in prints.columns
-    rows = prints.select("print", F.col("root" if known else "print").alias("root"), F.col("sketch") if known else F.array("print").alias("sketch"))
-    cells = rows.select("print", "root", "sketch", F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("t", "mask"))
-    cells = cells.select("print", "root", "sketch", "t", F.col("print").bitwiseAND(F.col("mask")).alias("key"))
+    own = [c for c in ("print", "root", "sketch") if c in prints.columns]
+    cells = prints.select(*own, F.posexplode(F.array(*[F.col("print").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
     limit = max(cell_rows, n * len(masks) // 4096)
     # at most 4096 cells can be above the limit, so their list is bounded
     hot = [(r["t"], r["key"], r["count"]) for r in cells.groupBy("t", "key").count().filter(F.col("count") > limit).collect()]
@@ -340,10 +343,10 @@ def near_links(
         n_parts = F.coalesce("parts", F.lit(1))
         mine = F.pmod(F.xxhash64("print"), n_parts).cast("int")
         cells = cells.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-        cells = cells.select("t", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "print", "root", "sketch")
+        cells = cells.select("t", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", *own)
     else:
         zero = F.lit(0)
-        cells = cells.select("t", "key", zero.alias("i"), zero.alias("j"), zero.alias("mine"), "print", "root", "sketch")
+        cells = cells.select("t", "key", zero.alias("i"), zero.alias("j"), zero.alias("mine"), *own)
     where = ["t", "key", "i", "j"]
     return cells.repartition(*where).sortWithinPartitions(*where).mapInArrow(_link_batches(max_bits, refs, give), "a long, b long")
 
