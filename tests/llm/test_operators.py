@@ -225,6 +225,42 @@ def test_planted_near_copies(spark):
     assert sum(group[d] == first for d, first in close) >= 0.99 * len(close)
 
 
+def plain_all_near(rows, similarity=0.8):
+    """Like ``plain_near``, but every text is a node of its own: all pairs are compared."""
+    grams = []
+    for _, text in rows:
+        words = re.findall(r"[^ \t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        grams.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+    for i, g in enumerate(grams):
+        for j in range(i):
+            both = len(g & grams[j])
+            if root[i] != root[j] and (g == grams[j] or both / (len(g) + len(grams[j]) - both) >= similarity):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return sorted(((rows[i][0], rows[root[i]][0]) for i in range(len(rows))), key=repr)
+
+
+def near_rows(spark, rows):
+    return near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_no_link_of_a_large_group_is_lost(spark):
+    """Chains and crowds of texts around the similarity, where a forest's edges are often refused."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for crowd in range(6):
+        base = [f"b{crowd}x{i}" for i in range(120)]
+        for _ in range(60):
+            words = list(base)
+            for i in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+                words[i] = f"n{rng.integers(0, 4)}x{i}"
+            rows.append((len(rows), " ".join(words[int(rng.integers(0, 8)) :])))
+    want = plain_all_near(rows)
+    assert 6 < len({c for _, c in want}) < len(rows) / 2
+    assert near_rows(spark, rows) == want
+
+
 def test_sampled_cells_meet_the_recall():
     for n in (0, 1, 1000, 10**6, 10**10):
         masks = simhash.sampled_masks(n)
