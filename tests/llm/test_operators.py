@@ -261,6 +261,30 @@ def test_no_link_of_a_large_group_is_lost(spark):
     assert near_rows(spark, rows) == want
 
 
+def planted(rng, kind, similarity):
+    words = [f"v{i}" for i in rng.integers(0, 5000, 400)]
+    if kind == "appended":
+        return words, words + [f"v{i}" for i in rng.integers(0, 5000, int(396 / similarity) - 396)]
+    if kind == "block":
+        # k new words in one place: k + 4 of the 396 shingles on either side differ
+        k = int(396 * (1 - similarity) / (1 + similarity)) - 4
+        return words, words[:100] + [f"v{i}" for i in rng.integers(0, 5000, k)] + words[100 + k :]
+    # one passage many times over: few shingles more as a set, most of them by number
+    return words, words + words[-60:] * 40
+
+
+@pytest.mark.parametrize("kind", ["appended", "block", "repeated"])
+def test_near_copies_just_above_the_similarity(spark, kind):
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in range(100):
+        for words in planted(rng, kind, 0.80 + 0.05 * n / 100):
+            rows.append((len(rows), " ".join(words)))
+    want = plain_all_near(rows)
+    assert sum(d != c for d, c in want) == 100
+    assert near_rows(spark, rows) == want
+
+
 def test_sampled_cells_meet_the_recall():
     for n in (0, 1, 1000, 10**6, 10**10):
         masks = simhash.sampled_masks(n)
