@@ -285,6 +285,15 @@ def test_near_copies_just_above_the_similarity(spark, kind):
     assert near_rows(spark, rows) == want
 
 
+def test_unlike_texts_of_one_fingerprint_stay_apart(spark):
+    """One shingle is over half of all, so all fingerprints are its hash."""
+    rows = [(n, "- " * 200 + " ".join(f"t{n}x{i}" for i in range(60))) for n in range(5)]
+    # a copy of a text that does not stand for its fingerprint
+    rows.append((5, rows[3][1] + " end"))
+    assert len({p for _, p, _ in groups(spark.createDataFrame(rows, "doc_id long, text string"))}) == 1
+    assert near_rows(spark, rows) == plain_all_near(rows) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 3)]
+
+
 def test_sampled_cells_meet_the_recall():
     for n in (0, 1, 1000, 10**6, 10**10):
         masks = simhash.sampled_masks(n)
