@@ -28,12 +28,18 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id stays.
+
+    A group leaves one row. Where its smallest doc_id has several texts, one of them
+    stays. Documents that share a doc_id, or have none, but are no copies all stay;
+    a document without a doc_id stays only in a group without any.
+    """
     found = simhash.near_copies(docs.select("doc_id", "text"))
-    # one row for each document that stays, whatever rows repeat
-    stay = found.filter(same(F.col("doc_id"), F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("print"))
-    first = docs.join(stay.select("_id"), same(docs["doc_id"], F.col("_id")), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))).alias("first")
+    stay = found.groupBy("root").agg(first).select("first._id", "first._key")
+    keyed = packed(docs, "doc_id", "text").withColumn("_text_key", simhash.text_key(F.col("text").cast("string")))
+    kept = keyed.join(stay, same(F.col("doc_id"), F.col("_id")) & same(F.col("_text_key"), F.col("_key")), "left_semi")
+    return unpacked(kept.dropDuplicates(["doc_id", "_text_key"]), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,15 @@ def test_repeated_rows_leave_one(spark, sf_dir, stages):
     assert ids(corpus_pipeline.near_copies(spark, twice, sf_dir)) == ids(stages[3])
 
 
+def test_only_copies_collapse(spark, sf_dir):
+    """Null and shared doc_ids: unlike documents all stay, copies leave one row."""
+    text = {c: " ".join(f"{c}{i}" for i in range(50)) for c in "abcdef"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (7, text["d"]), (7, text["d"] + " end"), (None, text["e"]), (9, text["e"]), (3, None), (4, "")]
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    got = sorted((r["doc_id"] or 0, (r["text"] or "")[:2]) for r in kept.collect())
+    assert got == [(0, "a0"), (0, "b0"), (3, ""), (7, "c0"), (7, "d0"), (9, "e0")]
+
+
 def test_mixing_stage(stages):
     documents = stages[3].toPandas()  # noqa: F841  DuckDB reads it by name
     want = Counter({d: taken // size for d, size, taken in duckdb.sql(f"SELECT doc_id, size, taken FROM ({OP9_SQL}) WHERE taken > 0").fetchall()})
