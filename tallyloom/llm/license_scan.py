@@ -3,9 +3,13 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Phrases are
 found wherever their words stand consecutively.
 
-Beyond phrases, every block (line) of every text is held against a set of
-license templates: a block belongs to a template if it holds at least
-``CONTAINMENT`` of the template's different words. The join is exact. Template
+Beyond phrases, every block of every text is held against a set of license
+templates: a block belongs to a template if it holds at least ``CONTAINMENT`` of
+the template's different words. Blocks are the lines, and, as notices are wrapped,
+all runs of a template's number of words / ``CONTAINMENT`` consecutive words,
+wherever lines end. The runs are looked for in pieces of a text that overlap by
+the longest run, so that each run is whole in one piece; a piece that passes the
+filters below is held against the template run by run. The join is exact. Template
 words are ordered by their frequency over all texts, rarest first. A block with
 the needed overlap must share a word with the template's prefix (its first
 size - needed + 1 words), so only blocks with a prefix word are looked at; then it must have enough template words at all (length filter), and from the place of the shared word on,
@@ -24,6 +28,7 @@ an empty result; other columns are not read.
 from __future__ import annotations
 
 import string
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +51,8 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 CONTAINMENT = 0.8
+#: Words of a piece, beside those it shares with the next.
+PIECE = 128
 _APART = "".join(chr(i) for i in range(128) if not (chr(i).isdigit() or chr(i).islower() or chr(i).isupper()))
 
 
@@ -109,9 +116,11 @@ def needed(size: int, containment: float) -> int:
     return next(o for o in range(size + 1) if o / size >= containment)
 
 
-def template_matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, block (line number from 0), template, label, score for each block that meets a template."""
-    order = word_order(docs, templates, text_col)
+def _contained(blocks: DataFrame, order: list[str], templates, containment: float) -> DataFrame:
+    """doc_id, text_key, block, ranked (its words' ranks in their order, 0 for others), template, label, t_own, t_size, need, overlap.
+
+    blocks: doc_id, text_key, block, words. A block that shares several prefix words with a template repeats.
+    """
     rank = {w: i + 1 for i, w in enumerate(order)}
     index, sets = [], []
     for number, (label, words) in enumerate(templates):
@@ -120,31 +129,59 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, containment: float =
         sets.append((number, label, own, need))
         index += [(own[at], number, label, at, len(own), need, own) for at in range(len(own) - need + 1)]
     prefix_words = sorted({order[i[0] - 1] for i in index})
-    text = F.col(f"`{text_col}`")
-    blocks = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")).alias("block", "line"))
-    blocks = blocks.select("doc_id", "text_key", "block", F.split(spaced(F.col("line")), " ").alias("words"))
     # as a branch, not only as a filter: Spark may put a test of what follows before a filter
     candidate = F.arrays_overlap("words", F.array(*[F.lit(w) for w in prefix_words]))
     every = F.array(*[F.lit(w) for w in order])
-    ranked = F.array_sort(F.array_distinct(F.filter(F.transform("words", lambda w: F.array_position(every, w)), lambda r: r > 0)))
-    own = F.when(candidate, ranked).otherwise(F.array().cast("array<bigint>"))
-    blocks = blocks.select("doc_id", "text_key", "block", own.alias("own"))
+    ranked = F.transform("words", lambda w: F.array_position(every, w))
+    blocks = blocks.select("doc_id", "text_key", "block", F.when(candidate, ranked).otherwise(F.array().cast("array<bigint>")).alias("ranked"))
+    own = F.array_sort(F.array_distinct(F.filter("ranked", lambda r: r > 0)))
+    blocks = blocks.select("doc_id", "text_key", "block", "ranked", own.alias("own"))
     smallest = min(need for *_, need in sets)
     placed = blocks.filter(F.size("own") >= smallest).select("*", F.posexplode("own").alias("at", "word"))
-    prefix = docs.sparkSession.createDataFrame(index, "word long, template int, label string, t_at int, t_size int, need int, t_own array<long>")
+    prefix = blocks.sparkSession.createDataFrame(index, "word long, template int, label string, t_at int, t_size int, need int, t_own array<long>")
     met = placed.join(F.broadcast(prefix), "word")
     long_enough = F.size("own") >= F.col("need")
     left = F.least(F.size("own") - F.col("at"), F.col("t_size") - F.col("t_at"))
     met = met.filter(long_enough & (left >= F.col("need")))
     overlap = F.size(F.array_intersect("own", "t_own"))
-    met = met.withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
+    return met.withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
+
+
+def template_matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text", order: list[str] | None = None) -> DataFrame:
+    """doc_id, text_key, block (line number from 0), template, label, score for each line that meets a template."""
+    order = word_order(docs, templates, text_col) if order is None else order
+    text = F.col(f"`{text_col}`")
+    blocks = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")).alias("block", "line"))
+    blocks = blocks.select("doc_id", "text_key", "block", F.split(spaced(F.col("line")), " ").alias("words"))
+    met = _contained(blocks, order, templates, containment)
     return met.select("doc_id", "text_key", "block", "template", "label", (F.col("overlap") / F.col("t_size")).alias("score"))
 
 
+def run_words(template: str, containment: float) -> int:
+    """How many consecutive words are held against a template."""
+    return ceil(len(template.split()) / containment - 1e-9)
+
+
+def run_matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text", order: list[str] | None = None) -> DataFrame:
+    """doc_id, text_key, block (piece from 0), template, label, score (of the best run) for each piece with a run of words that meets a template."""
+    order = word_order(docs, templates, text_col) if order is None else order
+    runs = [run_words(words, containment) for _, words in templates]
+    text = F.col(f"`{text_col}`")
+    words = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.split(F.trim(F.regexp_replace(spaced(text), " +", " ")), " ").alias("all"))
+    pieces = F.transform(F.sequence(F.lit(1), F.size("all"), F.lit(PIECE)), lambda at: F.slice("all", at, PIECE + max(runs) - 1))
+    met = _contained(words.select("doc_id", "text_key", F.posexplode(pieces).alias("block", "words")), order, templates, containment)
+    length = F.element_at(F.array(*[F.lit(n) for n in runs]), F.col("template") + 1)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("ranked") - length + 1, F.lit(1)))
+    best = F.array_max(F.transform(starts, lambda at: F.size(F.array_intersect(F.slice("ranked", at, length), "t_own"))))
+    met = met.withColumn("best", best).filter(F.col("best") >= F.col("need"))
+    return met.select("doc_id", "text_key", "block", "template", "label", (F.col("best") / F.col("t_size")).alias("score"))
+
+
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: the phrase columns, base (array), labels (array), score."""
     base = phrase_matches(docs, phrases, id_col, text_col)
-    found = template_matches(docs, templates, containment, id_col, text_col)
+    order = word_order(docs, templates, text_col)
+    found = template_matches(docs, templates, containment, id_col, text_col, order).unionByName(run_matches(docs, templates, containment, id_col, text_col, order))
     # a document has at most as many labels as there are templates
     own = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("label").alias("_labels"), F.max("score").alias("_score"))
     both = base.join(own, same(base["doc_id"], F.col("_id")) & (base["text_key"] == F.col("_key")), "left")

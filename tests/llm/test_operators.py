@@ -426,6 +426,36 @@ def test_license_scan(spark, none):
     assert license_scan.needed(7, 0.8) == 6 and license_scan.needed(5, 0.8) == 4
 
 
+NOTICES = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+    "gpl-3.0": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above""",
+    "mpl-2.0": """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this""",
+    "apache-2.0": """// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at""",
+}
+
+
+def test_wrapped_notices(spark, none):
+    rows = [(n, text, label) for n, (label, text) in enumerate(NOTICES.items())]
+    # at the ends of pieces, and the words of a notice too far apart
+    rows += [(100 + n, "word " * n + NOTICES["mit"] + "\nword" * 50, "mit") for n in range(100, 132, 6)]
+    rows.append((300, NOTICES["bsd"].replace(" ", " far\n apart "), None))
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for n, _, label in rows:
+        assert [x for x in got[n]["labels"] if x != "gpl"] == ([label] if label else [])
+        assert got[n]["score"] >= (0.8 if label else 0)
+    assert license_scan.run_matches(none).count() == 0
+
+
 # archives
 
 
