@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.normal import normal_tail
 from tallyloom.operators import corrections, depth, diagnostics, dispersion, dropout, residuals
-from tallyloom.plans import fixtures
+from tallyloom.plans import fixtures, queries
 from tallyloom.sources.h5ad import balanced_ranges
 from tallyloom.sources.matrix import CountMatrix, read_matrix
 from tallyloom.sources.sinks import dense_rows, finished, stage, write_csv
@@ -273,3 +273,16 @@ def test_balanced_ranges_cover_all_rows():
     assert ranges[0][0] == 0 and ranges[-1][1] == 5 and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:], strict=False))
 
 
+def test_residual_queries_use_the_operators_settings(spark, sf_dir):
+    matrix = fixtures.supplier_parts(spark, sf_dir)
+    pairs = residuals.pearson_residuals(matrix).count()
+    # far under the 5,000,000 of the default, so as many are drawn as there are pairs
+    assert queries.QUERIES["residual_sample"](spark, sf_dir).count() == pytest.approx(pairs, rel=0.2)
+    assert queries.sampled_pairs(matrix, pairs / 10).count() == pytest.approx(pairs / 10, rel=0.3)
+    assert queries.QUERIES["residual_density"](spark, sf_dir).count() == 200
+
+
+def test_comparison_points_thin_above_the_most(spark):
+    rows = spark.createDataFrame([(g, float(g)) for g in range(11)], "gene_id long, mean_expr double")
+    assert diagnostics.comparison_points(rows).count() == diagnostics.comparison_points(rows, 11).count() == 11
+    assert sorted(r["gene_id"] for r in diagnostics.comparison_points(rows, 10).collect()) == [0, 2, 4, 6, 8, 10]
