@@ -543,10 +543,12 @@ def prefix_pairs(sets: DataFrame, similarity: float = SIMILARITY, cell_rows: int
     sets (a written table): node, root, size, prefix (its first shingles in the common order), map (parities of the whole set).
     """
     cells = sets.select("node", "root", "size", F.posexplode("prefix").alias("at", "key"))
-    counts = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-    limit = max(cell_rows, cells.count() // 4096)
-    # at most 4096 cells can be above the limit, so their list is bounded
-    hot = [(r["key"], int(-(-r["n"] * 2 // limit))) for r in counts.filter((F.col("n") > limit) & (F.col("least") != F.col("most"))).collect()]
+    limit = max(cell_rows, sets.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0] // 4096)
+    # at most 4096 cells can be above the limit, so their list is bounded; they are looked for where 16384 cells' sums are
+    share = F.pmod("key", F.lit(16384)).alias("share")
+    full = [r["share"] for r in cells.groupBy(share).count().filter(F.col("count") > limit).collect()]
+    counts = cells.filter(share.isin(full)).groupBy("key").count().filter(F.col("count") > limit).collect() if full else []
+    hot = [(r["key"], int(-(-r["count"] * 2 // limit))) for r in counts]
     if hot:
         cells = cells.join(F.broadcast(sets.sparkSession.createDataFrame(hot, "key long, parts int")), "key", "left")
         n_parts = F.coalesce("parts", F.lit(1))

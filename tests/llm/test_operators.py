@@ -261,6 +261,14 @@ def test_no_link_of_a_large_group_is_lost(spark):
     assert near_rows(spark, rows) == want
 
 
+@pytest.mark.parametrize("cell_rows", [10, 100_000])
+def test_prefix_pairs_in_cut_cells(spark, cell_rows):
+    rows = [(n, n % 7, 1, [5 if n < 60 else n], [0] * simhash.MAP_WORDS) for n in range(90)]
+    sets = saved(spark.createDataFrame(rows, "node long, root long, size int, prefix array<long>, map array<long>"), "t")
+    got = sorted((r["a"], r["b"]) for r in simhash.prefix_pairs(sets, cell_rows=cell_rows).collect())
+    assert got == sorted((a, b) for a in range(60) for b in range(a) if a % 7 != b % 7)
+
+
 def planted(rng, kind, similarity):
     words = [f"v{i}" for i in rng.integers(0, 5000, 400)]
     if kind == "appended":
