@@ -16,23 +16,13 @@ fall into m blocks, two fingerprints within ``max_bits`` agree on at least
 m - max_bits of them, and each choice of that many blocks is a cell key. That
 loses no pair. m grows with the number of fingerprints, which keeps the pairs in
 a cell about constant. In a cell the rows are sorted by the first coordinate and
-compared in a window of max_bits on either side. A cell with very many rows is
-cut into parts, and each pair of parts goes to a task of its own. From a cell
-only a spanning forest of its links leaves, never all its pairs.
-
-``near_copies`` groups by likeness instead: texts link when their five-word
-shingles, as sets, overlap (Jaccard) in 0.8 or more, and no link is missed. Texts
-of the same words are one node (by 128 bits over the words). Two passes join most
-copies at little cost: cells are keys of some bits chosen at random, pairs within
-``CANDIDATE_BITS`` give spanning forests, nearest first, by fingerprints and then
-between groups not joined so far by sketches (wider fingerprints over the set of
-five-word shingles), and each edge is verified on the shingles of both whole
-texts. What these passes miss or refuse is then looked at in full: all pairs of
-texts under different roots go through a prefix join (``prefix_pairs``). In one
-order of all shingles, rare ones first, two sets that overlap enough share one of
-the first size - ceil(0.8 size) + 1, so texts meet in a cell for each of those;
-lengths, places and the parities of both sets discard only pairs that cannot
-overlap enough, and every pair left is verified like the others.
+compared in a window of max_bits on either side. A cell with more than
+``CELL_ROWS`` rows, whatever the size of the corpus, is cut into parts, and each
+pair of parts goes to a task of its own. From a cell only a spanning forest of its
+links leaves, never all its pairs. What moves is a fingerprint and its cell's
+number; the key is made again where it arrives.
+
+``near_copies`` (a module of its own) groups by the likeness of whole texts instead.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer
 words than a shingle has: the whole sequence; no word or null: fingerprint zero,
@@ -50,25 +40,16 @@ from math import ceil, comb, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.base import same, saved
+from tallyloom.llm.base import saved
+from tallyloom.llm.cells import PLACE_BITS, divided
 from tallyloom.llm.components import components
 
 SHINGLE, MAX_BITS, SEED, PIVOTS = 3, 3, 42, 8
-#: Near copies: words of a shingle, least similarity, most differing bits of a candidate pair.
-NEAR_WORDS, SIMILARITY, CANDIDATE_BITS = 5, 0.8, 12
 #: Sampled cells bring a pair that differs in KEY_BITS bits together with chance RECALL.
 KEY_BITS, RECALL = 10, 0.95
-#: 64-bit words of a sketch.
-SKETCH_WORDS = 8
-#: 64-bit words of a set's parities.
-MAP_WORDS = 8
-#: Texts that the order of shingles is taken from, and the most shingles it names.
-ORDER_TEXTS, ORDER_GRAMS = 20_000, 100_000
-#: Texts whose shingles are handed on at once.
-GRAM_ROWS = 128
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 #: A cell with more rows is cut into parts of at most half as many.
@@ -185,21 +166,6 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = Non
             label = up
 
 
-def sketch_of(grams: np.ndarray) -> np.ndarray:
-    """SKETCH_WORDS SimHashes of a set of hashes, each after a mixing of its own (splitmix64)."""
-    out = np.zeros(SKETCH_WORDS, np.uint64)
-    for w in range(SKETCH_WORDS):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(grams), CHUNK):
-            x = grams[at : at + CHUNK].view(np.uint64) + np.uint64((w + 1) * 0x9E3779B97F4A7C15 % 2**64)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            counts += np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-        out[w] = np.packbits(counts * 2 > len(grams), bitorder="little").view(np.uint64)[0]
-    return out
-
-
 def _closest(n: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Indexes of links a-b that span what all span, the nearest first (a minimum spanning forest)."""
     label = np.arange(n)
@@ -292,17 +258,18 @@ def _link_batches(max_bits: int, refs: np.ndarray, give: str):
         held: list[tuple] = []
         last, number, rows = None, 0, 0
         for batch in batches:
-            t, key, i, j, mine, bits = (batch.column(c).to_numpy() for c in ("t", "key", "i", "j", "mine", "print"))
+            w, key, bits = (batch.column(c).to_numpy() for c in ("w", "key", "print"))
+            place = w >> 2
             roots, sketches = bits, bits.view(np.uint64)[:, None]
             if "root" in batch.schema.names:
                 roots = batch.column("root").to_numpy()
                 sketches = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(bits), -1)
-            new = np.r_[False, (np.diff(key) != 0) | (np.diff(t) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]
-            new[0] = (t[0], key[0], i[0], j[0]) != last
-            last = (t[-1], key[-1], i[-1], j[-1])
+            new = np.r_[False, (np.diff(key) != 0) | (np.diff(place) != 0)]
+            new[0] = (place[0], key[0]) != last
+            last = (place[-1], key[-1])
             group = number + np.cumsum(new)
             number = int(group[-1])
-            side = np.where(i == j, 2, (mine == j).astype(np.int64))
+            side = w & 3
             cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
             values = (bits.view(np.uint64), roots, sketches, group, side)
             if cut or new[0]:
@@ -335,245 +302,16 @@ def near_links(
     refs = pivots() if refs is None else refs
     n = prints.count()
     masks = block_masks(block_count(n, max_bits), max_bits) if masks is None else masks
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    own = [c for c in ("print", "root", "sketch") if c in prints.columns]
-    cells = prints.select(*own, F.posexplode(F.array(*[F.col("print").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
-    limit = max(cell_rows, n * len(masks) // 4096)
-    # at most 4096 cells can be above the limit, so their list is bounded
-    hot = [(r["t"], r["key"], r["count"]) for r in cells.groupBy("t", "key").count().filter(F.col("count") > limit).collect()]
-    if hot:
-        parts = prints.sparkSession.createDataFrame([(t, k, int(-(-c * 2 // limit))) for t, k, c in hot], "t int, key long, parts int")
-        cells = cells.join(F.broadcast(parts), ["t", "key"], "left")
-        n_parts = F.coalesce("parts", F.lit(1))
-        mine = F.pmod(F.xxhash64("print"), n_parts).cast("int")
-        cells = cells.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-        cells = cells.select("t", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", *own)
-    else:
-        zero = F.lit(0)
-        cells = cells.select("t", "key", zero.alias("i"), zero.alias("j"), zero.alias("mine"), *own)
-    where = ["t", "key", "i", "j"]
-    return cells.repartition(*where).sortWithinPartitions(*where).mapInArrow(_link_batches(max_bits, refs, give), "a long, b long")
-
-
-def text_key(text: Column) -> Column:
-    """128 bits for a text as it is; null for null."""
-    return F.unhex(F.md5(text.cast("binary"))).alias("text_key")
-
-
-def _words_digest(text: bytes | None) -> tuple[int, int]:
-    """The 128 bits that stand for a text's words, as two longs."""
-    d = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split())), np.int64)
-    return int(d[0]), int(d[1])
-
-
-def _gram_set(text: bytes | None, words: int, seed: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
-
-
-def _common_grams(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles (sorted) that many of a sample of texts hold, and in how many.
-
-    They only give the order in which prefixes are taken, so the sample decides the
-    work, never the result.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_gram_set(t, words, seed) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["gram"])
-
-    share = min(1.0, ORDER_TEXTS / max(docs.count(), 1))
-    texts = docs.select(F.col("text").cast("string")).sample(share, 42)
-    counts = texts.mapInArrow(run, "gram long").groupBy("gram").count().filter(F.col("count") >= 5)
-    found = counts.orderBy(F.col("count").desc(), "gram").limit(ORDER_GRAMS).toArrow()
-    grams, n = found.column("gram").to_numpy().view(np.uint64), found.column("count").to_numpy()
-    order = np.argsort(grams)
-    return grams[order], n[order]
-
-
-def prefix_size(n: int, similarity: float) -> int:
-    """Two sets that overlap in ``similarity`` share one of their first so many elements, in any one order."""
-    return n - ceil(similarity * n - 1e-9) + 1 if n else 0
-
-
-def _set_batches(words: int, similarity: float, print_words: int, seed: int, common: tuple[np.ndarray, np.ndarray]):
-    grams, counts = common
-
-    def ordered(own: np.ndarray) -> np.ndarray:
-        """The set's prefix: rarest first, ties by the hash."""
-        often = np.zeros(len(own), np.int64)
-        if len(grams):
-            at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-            often = np.where(grams[at] == own, counts[at], 0)
-        return own[np.lexsort((own, often))][: prefix_size(len(own), similarity)]
-
-    def parity(own: np.ndarray) -> np.ndarray:
-        """For each of MAP_WORDS * 64 places, whether an odd number of elements falls there."""
-        odd = np.bincount((own >> np.uint64(20)).astype(np.int64) % (MAP_WORDS * 64), minlength=MAP_WORDS * 64) & 1
-        return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = pa.list_(pa.int64())
-        for batch in batches:
-            for at in range(0, batch.num_rows, GRAM_ROWS):
-                some = batch.column(1).cast(pa.binary()).slice(at, GRAM_ROWS).to_pylist()
-                digests = np.array([_words_digest(t) for t in some], np.int64).reshape(-1, 2)
-                sets = [_gram_set(t, words, seed) for t in some]
-                columns = {
-                    "doc_id": batch.column(0).slice(at, GRAM_ROWS),
-                    "text_key": batch.column(2).slice(at, GRAM_ROWS),
-                    "high": pa.array(digests[:, 0]),
-                    "low": pa.array(digests[:, 1]),
-                    "print": pa.array(fingerprints_of(some, print_words, seed).view(np.int64)),
-                    "size": pa.array([len(g) for g in sets], pa.int32()),
-                    "prefix": pa.array([ordered(g).view(np.int64) for g in sets], longs),
-                    "map": pa.array([parity(g) for g in sets], longs),
-                }
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    return run
-
-
-def _gram_batches(words: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).cast(pa.binary())
-            for at in range(0, len(texts), GRAM_ROWS):
-                some = texts.slice(at, GRAM_ROWS).to_pylist()
-                digests = np.array([_words_digest(t) for t in some], np.int64).reshape(-1, 2)
-                grams = [_gram_set(t, words, seed).view(np.int64) for t in some]
-                sketches = [sketch_of(g).view(np.int64) for g in grams]
-                lists = pa.list_(pa.int64())
-                columns = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(grams, lists), pa.array(sketches, lists)]
-                yield pa.RecordBatch.from_arrays(columns, ["high", "low", "grams", "sketch"])
-
-    return run
-
-
-def _both_ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-
-
-def _grams(nodes: DataFrame, docs: DataFrame, classes: DataFrame, words: int, seed: int) -> DataFrame:
-    """node, grams (the set of its text's shingles) and sketch of ``nodes``."""
-    own = classes.join(nodes, "node", "left_semi").select("node", "high", "low", "first_id")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(own.select(F.col("first_id").alias("_id")), same(F.col("doc_id"), F.col("_id")), "left_semi").select("text")
-    found = texts.mapInArrow(_gram_batches(words, seed), "high long, low long, grams array<long>, sketch array<long>")
-    # other texts under the same doc_id fall away here
-    found = found.join(own.select("node", "high", "low"), ["high", "low"])
-    return found.groupBy("node").agg(F.min("grams").alias("grams"), F.min("sketch").alias("sketch"))
-
-
-def _prefix_links(cell: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, side: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
-    """Pairs of nodes under different roots that meet in a cell (a shingle of both prefixes) and may overlap enough."""
-    order = np.lexsort((size, cell))
-    cell, node, root, size, at, side = (x[order] for x in (cell, node, root, size, at, side))
-    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-    keep = np.repeat(mixed, np.diff(np.r_[starts, len(cell)]))
-    cell, node, root, size, at, side = (x[keep] for x in (cell, node, root, size, at, side))
-    if not len(cell):
-        return
-    # the length filter: sizes of one cell stand in order
-    rank = (cell - cell[0]) * (1 << 32) + size
-    most = np.minimum(np.floor(size / similarity + 1e-9).astype(np.int64), (1 << 32) - 1)
-    width = np.searchsorted(rank, rank - size + most, side="right") - np.arange(len(cell)) - 1
-    budget = np.cumsum(width)
-    done, found, waiting = 0, [], 0
-    while done < len(cell):
-        stop = max(done + 1, int(np.searchsorted(budget, (budget[done - 1] if done else 0) + 2_000_000, side="right")))
-        w = width[done:stop]
-        a = np.repeat(np.arange(done, stop), w)
-        b = a + 1 + (np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w))
-        meet = (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 2))
-        a, b = a[meet], b[meet]
-        # no more can be shared before the shingle than the lesser place, nor after it than what is left
-        most_shared = np.minimum(at[a], at[b]) + 1 + np.minimum(size[a] - at[a], size[b] - at[b]) - 1
-        fits = most_shared >= np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9)
-        a, b = node[a[fits]], node[b[fits]]
-        found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], 1))
-        waiting += len(a)
-        if waiting > 1_000_000:
-            yield np.unique(np.concatenate(found), axis=0)
-            found, waiting = [], 0
-        done = stop
-    yield np.unique(np.concatenate(found), axis=0)
-
-
-def _prefix_batches(similarity: float):
-    """Rows come by cell; whole cells are taken together until there is enough to do at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for pairs in _prefix_links(*(np.concatenate(x) for x in zip(*parts, strict=True)), similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        held: list[tuple] = []
-        last, number, rows = None, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, i, j, mine, node, root, size, at = (batch.column(c).to_numpy() for c in ("key", "i", "j", "mine", "node", "root", "size", "at"))
-            new = np.r_[False, (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]
-            new[0] = (key[0], i[0], j[0]) != last
-            last = (key[-1], i[-1], j[-1])
-            cell = number + np.cumsum(new)
-            number = int(cell[-1])
-            side = np.where(i == j, 2, (mine == j).astype(np.int64))
-            values = (cell, node, root, size.astype(np.int64), at.astype(np.int64), side)
-            cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
-            if new.any():
-                held.append(tuple(x[:cut] for x in values))
-                rows += cut
-                if rows > 50_000:
-                    yield from out(held)
-                    held, rows = [], 0
-            held.append(tuple(x[cut:] for x in values))
-            rows += len(key) - cut
-        if rows:
-            yield from out(held)
-
-    return run
-
-
-def prefix_pairs(sets: DataFrame, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """a, b: all pairs of different roots that may overlap in ``similarity``; no pair that does is missing.
-
-    sets (a written table): node, root, size, prefix (its first shingles in the common order), map (parities of the whole set).
-    """
-    cells = sets.select("node", "root", "size", F.posexplode("prefix").alias("at", "key"))
-    limit = max(cell_rows, sets.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0] // 4096)
-    # at most 4096 cells can be above the limit, so their list is bounded; they are looked for where 16384 cells' sums are
-    share = F.pmod("key", F.lit(16384)).alias("share")
-    full = [r["share"] for r in cells.groupBy(share).count().filter(F.col("count") > limit).collect()]
-    counts = cells.filter(share.isin(full)).groupBy("key").count().filter(F.col("count") > limit).collect() if full else []
-    hot = [(r["key"], int(-(-r["count"] * 2 // limit))) for r in counts]
-    if hot:
-        cells = cells.join(F.broadcast(sets.sparkSession.createDataFrame(hot, "key long, parts int")), "key", "left")
-        n_parts = F.coalesce("parts", F.lit(1))
-        cells = cells.withColumn("mine", F.pmod(F.xxhash64("node"), n_parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-        cells = cells.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "size", "at")
-    else:
-        zero = F.lit(0)
-        cells = cells.select("key", zero.alias("i"), zero.alias("j"), zero.alias("mine"), "node", "root", "size", "at")
-    where = ["key", "i", "j"]
-    pairs = cells.repartition(*where).sortWithinPartitions(*where).mapInArrow(_prefix_batches(similarity), "a long, b long").distinct()
-    left = sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("map").alias("ma"))
-    right = sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("map").alias("mb"))
-    # sets differ in at least as many elements as their parities do
-    apart = sum((F.bit_count(F.col("ma")[w].bitwiseXOR(F.col("mb")[w])) for w in range(MAP_WORDS)), F.lit(0))
-    shared = (F.col("na") + F.col("nb") - apart) / 2
-    return pairs.join(left, "a").join(right, "b").filter(shared / (F.col("na") + F.col("nb") - shared) >= similarity).select("a", "b")
-
-
-def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles overlap in ``similarity`` or more."""
-    left = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    right = grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    na, nb, both = F.size("ga"), F.size("gb"), F.size(F.array_intersect("ga", "gb"))
-    lengths = F.least(na, nb) / F.greatest(na, nb, F.lit(1)) >= similarity
-    return pairs.join(left, "a").join(right, "b").filter(lengths).filter(both / F.greatest(na + nb - both, F.lit(1)) >= similarity).select("a", "b")
+    table = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
+    own = [c for c in ("root", "sketch") if c in prints.columns]
+    cells = prints.select("print", *own, F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"))
+    cells = divided(cells.withColumn("key", F.col("print").bitwiseAND(F.element_at(table, F.col("t") + 1))), ["t", "key"], "print", cell_rows)
+    # only the place and the print move; the key follows from them
+    moved = cells.select((F.shiftleft(F.col("t").cast("long"), PLACE_BITS) + F.col("w")).alias("w"), "print", *own)
+    t = F.shiftright("w", PLACE_BITS).cast("int")
+    key = F.col("print").bitwiseAND(F.element_at(table, t + 1))
+    met = moved.repartition(F.shiftright("w", 2), key).select("w", key.alias("key"), "print", *own).sortWithinPartitions(F.shiftright("w", 2), "key")
+    return met.mapInArrow(_link_batches(max_bits, refs, give), "a long, b long")
 
 
 def _grouped(named: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -584,9 +322,9 @@ def _grouped(named: DataFrame, classes: DataFrame, links: DataFrame) -> DataFram
     return named.join(members, "print").select("doc_id", "print", "component_id")
 
 
-def _rooted(classes: DataFrame, links: DataFrame, key: str = "print") -> DataFrame:
+def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
     stars = components(links)
-    return classes.join(stars, classes[key] == stars["node"] if key != "node" else "node", "left").select(key, "first_id", F.coalesce("root", key).alias("root"))
+    return classes.join(stars, classes["print"] == stars["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
 
 
 def _classes(docs: DataFrame, words: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -598,49 +336,3 @@ def simhash_groups(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BI
     """doc_id, print, component_id for every row of ``docs`` (doc_id, text)."""
     named, classes = _classes(docs, words, seed)
     return _grouped(named, classes, near_links(classes.select("print"), max_bits))
-
-
-def near_copies(
-    docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, max_bits: int = CANDIDATE_BITS, print_words: int = SHINGLE, seed: int = SEED
-) -> DataFrame:
-    """doc_id, text_key, print, root, component_id for every row of ``docs`` (doc_id, text), linked by the likeness of their shingles.
-
-    A group's rows have one ``root``; text_key is that of ``text_key()``.
-    """
-    text = F.col("text").cast("string")
-    texts = docs.select(F.col("doc_id").cast("long"), text, text_key(text))
-    found = _set_batches(words, similarity, print_words, seed, _common_grams(docs, words, seed))
-    kinds = "doc_id long, text_key binary, high long, low long, print long, size int, prefix array<long>, map array<long>"
-    named = saved(texts.mapInArrow(found, kinds), "near-texts")
-    # one node for each sequence of words
-    own = [F.first(c).alias(c) for c in ("print", "size", "prefix", "map")]
-    classes = named.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), *own).withColumn("node", F.monotonically_increasing_id())
-    classes = saved(classes, "near-classes")
-    # the fingerprints join most copies at little cost; of the texts with one fingerprint, one stands in their cells
-    met = saved(classes.groupBy("print").agg(F.min("node").alias("node")), "simhash-classes")
-    masks = sampled_masks(met.count())
-
-    def candidates(prints: DataFrame) -> DataFrame:
-        pairs = near_links(prints, max_bits, masks=masks, give="closest")
-        pairs = pairs.join(met.select(F.col("print").alias("a"), F.col("node").alias("_a")), "a").join(met.select(F.col("print").alias("b"), F.col("node").alias("_b")), "b")
-        return pairs.select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).distinct()
-
-    def rooted(links: DataFrame) -> DataFrame:
-        return _rooted(classes, links, "node")
-
-    first = saved(candidates(met.select("print")), "simhash-pairs")
-    grams = saved(_grams(_both_ends(first), docs, classes, words, seed), "simhash-grams")
-    linked = saved(_verified(first, grams, similarity), "simhash-verified")
-    apart = rooted(linked).join(met, "node").join(grams.select("node", "sketch"), "node").select("print", "root", "sketch")
-    second = candidates(saved(apart, "simhash-apart")).join(first, ["a", "b"], "left_anti")
-    rest = saved(_verified(saved(second, "simhash-pairs"), grams, similarity), "simhash-verified")
-    linked = linked.unionByName(rest)
-    # all pairs that are not joined so far and can overlap enough, none left out
-    sets = saved(rooted(linked).select("node", "root").join(classes.select("node", "size", "prefix", "map"), "node"), "near-sets")
-    last = saved(prefix_pairs(sets, similarity), "near-pairs")
-    ends = saved(_grams(_both_ends(last), docs, classes, words, seed), "near-grams")
-    linked = linked.unionByName(saved(_verified(last, ends, similarity), "near-verified"))
-    roots = saved(rooted(linked), "near-roots")
-    ids = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    members = roots.join(ids, "root").join(classes.select("node", "high", "low"), "node").select("high", "low", "root", "component_id")
-    return named.join(members, ["high", "low"]).select("doc_id", "text_key", "print", "root", "component_id")

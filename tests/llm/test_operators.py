@@ -12,8 +12,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, cuckoo, license_scan, line_dedup, mixing, pieces, quality, secret_ledger, simhash, warc, zip_reader
+from tallyloom.llm import ann, cuckoo, license_scan, line_dedup, mixing, near_copies, pieces, quality, secret_ledger, simhash, warc, zip_reader
 from tallyloom.llm.base import packed, saved, unpacked
+from tallyloom.llm.cells import divided
 from tallyloom.llm.components import components
 from tallyloom.llm.mph import PerfectHash
 
@@ -192,7 +193,7 @@ def plain_near(rows):
 
 
 def near_groups(docs):
-    return sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_copies(docs.select("doc_id", "text")).collect()), key=repr)
+    return sorted(((r["doc_id"], r["component_id"]) for r in near_copies.near_copies(docs.select("doc_id", "text")).collect()), key=repr)
 
 
 def test_near_copies_small(docs, none):
@@ -263,12 +264,31 @@ def test_no_link_of_a_large_group_is_lost(spark):
 
 @pytest.mark.parametrize("cell_rows", [10, 100_000])
 def test_prefix_pairs_in_cut_cells(spark, cell_rows):
-    rows = [(n, n % 7, 1, [5 if n < 60 else n], [0] * simhash.MAP_WORDS) for n in range(90)]
-    sets = saved(spark.createDataFrame(rows, "node long, root long, size int, prefix array<long>, map array<long>"), "t")
-    got = sorted((r["a"], r["b"]) for r in simhash.prefix_pairs(sets, cell_rows=cell_rows).collect())
+    rows = [(5 if n < 60 else n, n, n % 7, 1, 0, 0, 0) for n in range(90)]
+    cells = divided(spark.createDataFrame(rows, "key long, node long, root long, size int, at int, m0 long, m1 long"), ["key"], "node", cell_rows)
+    maps = spark.createDataFrame([(n, 1, [0] * near_copies.MAP_WORDS) for n in range(90)], "node long, size int, map array<long>")
+    got = sorted((r["a"], r["b"]) for r in near_copies.prefix_pairs(cells, maps).collect())
     assert got == sorted((a, b) for a in range(60) for b in range(a) if a % 7 != b % 7)
 
 
+@pytest.mark.parametrize("cell_rows", [10, 100_000])
+def test_only_shingles_of_several_texts_are_passed_on(spark, cell_rows):
+    rng = np.random.default_rng(4)
+    rows = [(int(h), [int(k) for k in rng.integers(0, 400, 5)] + [1000 + n]) for n, h in enumerate(rng.integers(0, 150, 300))]
+    first = {}
+    for high, keys in rows:
+        first.setdefault(high, keys)
+    rows = [(h, first[h]) for h, _ in rows]
+    texts = defaultdict(set)
+    for h, keys in rows:
+        for k in keys:
+            texts[k].add(h)
+    got = near_copies.shared_cells(saved(spark.createDataFrame(rows, "high long, prefix array<long>"), "t"), cell_rows).collect()
+    several = {(k, h, first[h].index(k)) for k, hs in texts.items() if len(hs) > 1 for h in hs}
+    assert several <= {(r["key"], r["high"], r["at"]) for r in got}
+    assert cell_rows == 10 or {r["key"] for r in got} == {k for k, hs in texts.items() if len(hs) > 1}
+
+
 def planted(rng, kind, similarity):
     words = [f"v{i}" for i in rng.integers(0, 5000, 400)]
     if kind == "appended":
