@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import line_dedup, mixing, pieces, quality, simhash
+from tallyloom.llm import line_dedup, mixing, near_copies as near, pieces, quality
 from tallyloom.llm.base import packed, same, saved, table, unpacked
 
 
@@ -34,10 +34,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays. Documents that share a doc_id, or have none, but are no copies all stay;
     a document without a doc_id stays only in a group without any.
     """
-    found = simhash.near_copies(docs.select("doc_id", "text"))
+    found = near.near_copies(docs.select("doc_id", "text"))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))).alias("first")
     stay = found.groupBy("root").agg(first).select("first._id", "first._key")
-    keyed = packed(docs, "doc_id", "text").withColumn("_text_key", simhash.text_key(F.col("text").cast("string")))
+    keyed = packed(docs, "doc_id", "text").withColumn("_text_key", near.text_key(F.col("text").cast("string")))
     kept = keyed.join(stay, same(F.col("doc_id"), F.col("_id")) & same(F.col("_text_key"), F.col("_key")), "left_semi")
     return unpacked(kept.dropDuplicates(["doc_id", "_text_key"]), docs)
 
