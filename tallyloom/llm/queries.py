@@ -16,9 +16,18 @@ def _found_of_kind(kind: str) -> Column:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, findings = secret_ledger.update(table(spark, sf_dir, "documents"), path_col="doc_id", content_col="text")
+    """Two runs over one ledger, which together scan every text by every rule.
+
+    The first is the history: the blobs whose address is in the lower half, by all
+    rules but the newest. The second covers the whole table by all rules: it scans
+    the other blobs by all of them and those in the ledger by the newest only.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    past = docs.filter(F.sha2(F.coalesce("text", F.lit("")), 256) < "8")
+    ledger, _ = secret_ledger.update(past, None, secret_ledger.RULES[:-1], path_col="doc_id", content_col="text")
+    _, findings = secret_ledger.update(docs, ledger, path_col="doc_id", content_col="text")
     counts = [_found_of_kind(k).alias(f"n_{k}") for k in secret_ledger.BASE_KINDS]
-    base = F.filter("found", lambda s: s["kind_no"] < len(secret_ledger.BASE_KINDS))
+    base = F.filter("found", lambda s: s["kind"].isin(*secret_ledger.BASE_KINDS))
     return findings.select(F.col("path").alias("doc_id"), *counts, F.sha2(secret_ledger.span_text(base), 256).alias("base_sha256"), secret_ledger.span_text(F.col("found")).alias("spans"))
 
 

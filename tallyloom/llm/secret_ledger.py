@@ -1,12 +1,16 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
 Every version of every path is addressed by the SHA-256 of its content. A ledger
-row says which rules (by kind and version) one blob was scanned with and what was
-found. A run looks up which pairs of blob and rule are not in the ledger, reads
-only one version of each such blob, scans it by those rules alone, appends ledger
-rows, and joins the findings of all blobs back to all paths that hold them. A
-second run over the same versions scans nothing; a new rule, or a new version of
-a rule, scans all blobs by that rule only.
+row says which rules (by kind and version) one blob was scanned with and which
+spans each of them found. A run looks up which pairs of blob and rule are not in
+the ledger, reads only one version of each such blob, scans it by those rules
+alone, appends ledger rows, and joins the findings of all blobs back to all paths
+that hold them. A second run over the same versions scans nothing; a new rule, or a
+new version of a rule, scans all blobs by that rule only.
+
+The ledger names rules, never their numbers, so rules may be added, dropped or put
+in another order between runs; a span's kind_no is its rule's place in the run
+that reads it. Appending the same rows again (a retried run) changes nothing.
 
 Everything is DataFrame functions: positions come from splitting a text at the
 matches of a pattern, whose pieces and matches add up to code-point offsets.
@@ -15,8 +19,9 @@ Groups of copies meet their one ledger row in a join whose large side Spark
 splits; finding one version for each blob is a combined minimum.
 
 Defined results: null contents are empty; a null path is a path like another;
-rows that repeat share a blob and get equal findings; empty tables give empty
-results; other columns are not read.
+rows that repeat share a blob and get equal findings; spans that start together
+stand in the order of the rules; very long contents are scanned whole, their spans
+gathered in runs; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -57,13 +62,15 @@ RULES = (
     Rule("github", 1, "gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 BASE_KINDS = ("assign", "access", "hex")
-SPAN = "array<struct<start:int,kind_no:int,kind:string,stop:int>>"
+#: What the ledger holds of a span, and what findings say of it.
+SPAN = "array<struct<start:int,stop:int,rule:string>>"
+FOUND = "array<struct<start:int,kind_no:int,kind:string,stop:int>>"
 #: Matches that are gathered together.
 RUN = 256
 LEDGER = f"blob string, rules array<string>, found {SPAN}"
 
 
-def spans(text: Column, rule: Rule, number: int) -> Column:
+def spans(text: Column, rule: Rule) -> Column:
     """The spans of one rule: start and stop in code points, stop exclusive.
 
     Spans are gathered in runs of ``RUN`` matches, so the work stays in proportion
@@ -78,7 +85,7 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["piece"]
         stop = start + x["whole"]
-        here = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind_no"), F.lit(rule.kind).alias("kind"), stop.alias("stop")))
+        here = F.array(F.struct(start.alias("start"), stop.alias("stop"), F.lit(rule.name).alias("rule")))
         # the last piece has no match after it
         found = F.when(x["part"] >= max(rule.least, 1), F.concat(acc["found"], here)).otherwise(acc["found"])
         return F.struct(F.coalesce(stop, acc["at"]).alias("at"), found.alias("found"))
@@ -120,28 +127,37 @@ def scan(versions: DataFrame, unseen: DataFrame, rules: tuple[Rule, ...], path_c
     u = unseen.alias("u")
     picked = contents.join(u, same(F.col("at"), F.col("u.path")) & (F.sha2("content", 256) == F.col("u.blob"))).select("blob", "todo", "content")
     none = F.array().cast(SPAN)
-    each = [F.when(F.array_contains("todo", r.name), spans(F.col("content"), r, i)).otherwise(none) for i, r in enumerate(rules)]
-    found = F.array_sort(reduce(F.concat, each)) if each else none
+    each = [F.when(F.array_contains("todo", r.name), spans(F.col("content"), r)).otherwise(none) for r in rules]
+    found = reduce(F.concat, each) if each else none
     return picked.select("blob", F.col("todo").alias("rules"), found.alias("found")).dropDuplicates(["blob"])
 
 
+def numbered(found: Column, rules: tuple[Rule, ...]) -> Column:
+    """Ledger spans of ``rules`` as findings, by start and then by the order of the rules; others are left out."""
+    if not rules:
+        return F.array().cast(FOUND)
+    numbers = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    own = F.filter(found, lambda s: F.map_contains_key(numbers, s["rule"]))
+    number = lambda s: F.element_at(numbers, s["rule"])
+    return F.array_sort(F.transform(own, lambda s: F.struct(s["start"].alias("start"), number(s).alias("kind_no"), F.element_at(kinds, number(s) + 1).alias("kind"), s["stop"].alias("stop"))))
+
+
 def update(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "path", content_col: str = "content") -> tuple[DataFrame, DataFrame]:
     """(new ledger rows to append, findings for every version: path, blob, found).
 
-    Findings are those of the given rules only; a ledger may hold other versions.
+    Findings are those of the given rules only; a ledger may hold others and other
+    versions, and the same rows more than once.
     """
     named = saved(addressed(versions, path_col, content_col), "blobs")
     fresh = saved(scan(versions, unseen_blobs(named, rules, ledger), rules, path_col, content_col), "ledger")
-    rows = fresh if ledger is None else ledger.select("blob", "rules", "found").unionByName(fresh)
-    names = F.array(*[F.lit(r.name) for r in rules])
-    asked = rows.filter(F.arrays_overlap("rules", names))
-    if ledger is not None:
-        # several runs may have scanned a blob, each by other rules; older versions of a rule are left out
-        kinds = {r.kind: r.name for r in rules}
-        current = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
-        own = F.filter("found", lambda s: F.array_contains("rules", F.element_at(current, s["kind"])))
-        asked = asked.select("blob", own.alias("found")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    findings = named.join(asked.select("blob", "found"), "blob").select("path", "blob", "found")
+    if ledger is None:
+        asked = fresh.select("blob", "found")
+    else:
+        # a blob has a row for each run that scanned it
+        rows = ledger.select("blob", "found").unionByName(fresh.select("blob", "found"))
+        asked = rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    findings = named.join(asked.select("blob", numbered(F.col("found"), rules).alias("found")), "blob").select("path", "blob", "found")
     return fresh, findings
 
 
