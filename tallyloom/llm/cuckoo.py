@@ -16,7 +16,7 @@ shard at a time.
 Texts are equal when they agree after lower-casing A-Z only; null counts as
 empty. Of equal texts the row with the largest doc_id stays (a null doc_id is
 below all others; rows that share the largest doc_id all stay, as nothing tells
-them apart). An empty table gives an empty result; other columns are ignored.
+them apart). Very long texts are hashed whole. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -211,23 +211,26 @@ def shard_count(keys: int) -> int:
 def update_index(new: DataFrame, shards: int, stored: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
     """The index after inserting ``new`` (doc_id, digest) and deleting ``gone`` (digest).
 
-    stored: the index before, made with the same number of shards.
+    stored: the index before, whatever its number of shards: every digest is dealt anew.
     Returns shard, digest, keep_id, group_size: the live digests.
     """
     changes = new.mapInArrow(_combine(shards), "shard long, kind int, digest binary, doc_id long, rows long")
     if stored is not None:
-        changes = changes.unionByName(stored.select("shard", F.lit(STORED).alias("kind"), "digest", F.col("keep_id").alias("doc_id"), F.col("group_size").alias("rows")))
+        dealt = stored.select("digest", "keep_id", "group_size").mapInArrow(_dealt(shards), "shard long, digest binary, keep_id long, group_size long")
+        changes = changes.unionByName(dealt.select("shard", F.lit(STORED).alias("kind"), "digest", F.col("keep_id").alias("doc_id"), F.col("group_size").alias("rows")))
     if gone is not None:
-        shard = gone.select("digest").mapInArrow(_gone_shards(shards), "shard long, digest binary")
+        shard = gone.select("digest").mapInArrow(_dealt(shards), "shard long, digest binary")
         changes = changes.unionByName(shard.select("shard", F.lit(RETIRE).alias("kind"), "digest", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("rows")))
     return changes.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_replay, "shard long, digest binary, keep_id long, group_size long")
 
 
-def _gone_shards(shards: int):
+def _dealt(shards: int):
+    """The shard of each row's digest, before its columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(k[12:20], "little") % shards for k in keys], pa.int64()), batch.column(0)], ["shard", "digest"])
+            keys = batch.column("digest").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(k[12:20], "little") % shards for k in keys], pa.int64()), *batch.columns], ["shard", *batch.schema.names])
 
     return run
 
