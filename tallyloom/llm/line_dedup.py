@@ -3,34 +3,36 @@
 A line's key is the line without the white space ``[\\x20\\x09-\\x0D]`` at both
 ends, with A-Z lower-cased, kept as a 128-bit hash: the first half places it, the
 second half is its fingerprint. Keys are counted over all documents (combined
-for each batch and each map task first). Those in at least ``min_docs``
-documents are indexed: each shard is one minimal perfect hash with arrays of
-fingerprints, document counts and keepers (the largest doc_id that holds the
-key). Keys below the threshold cannot drop a line, so the arrays leave them out;
-the 64-bit fingerprints tell them apart.
+for each batch and each map task first), and every distinct key is indexed: each
+shard is one minimal perfect hash with arrays of fingerprints, document counts and
+keepers (the largest doc_id that holds the key). The count in the array decides
+whether a line is repeated.
 
 Documents then probe the arrays: they send (hash, doc_id) to the shard, where
 whole batches are answered at once, and get back the keys that they must drop.
 A task holds one shard of about ``SHARD_KEYS`` keys and one batch, however many
 documents share a line; shards that hold a very common line are copied and their
-probes spread over the copies.
+probes spread over the copies. Probes move, as an index of all lines fits no task;
+a probe is a hash and the names of its row, never a line.
 
 Defined results: null or empty texts have one empty line; a line that occurs
 several times in a document counts once; a null doc_id is below all others; rows
-with one doc_id count each but keep or drop alike; an empty table gives an empty
-result; no other column is read. Keys of fewer than ``min_chars`` code points
+with one doc_id count each but keep or drop alike; very long texts are read whole;
+an empty table gives an empty result; no other column is read. Keys of fewer than ``min_chars`` code points
 always stay.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyloom.llm.base import same, saved
 from tallyloom.llm.mph import PerfectHash
@@ -38,8 +40,8 @@ from tallyloom.llm.mph import PerfectHash
 SPACE = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 65_536
 MIN_CHARS, MIN_DOCS = 20, 3
-#: A shard with more than this part of all counted lines is copied (so at most as many copies are added).
-HOT_PARTS = 1024
+#: A shard with more than so many times the mean of lines is copied (so few are, whatever their number),
+HOT_SHARE = 64
 #: ... and in no case one with fewer lines.
 HOT_LINES = 100_000
 
@@ -109,12 +111,15 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2, docs = (t.column(c).to_numpy() for c in ("h1", "h2", "docs"))
         missing = t.column("keeper").is_null().to_numpy()
         keeper = t.column("keeper").fill_null(0).to_numpy()
-        # two keys that agree in their first half (about never) are told apart by placing with both
-        keys = _placing(h1, h2)
+        # two keys may be placed alike (about never): then all are placed by another seed
+        seed, keys = 0, _placing(h1, h2, 0)
+        while len(np.unique(keys)) < len(keys):
+            seed += 1
+            keys = _placing(h1, h2, seed)
         found = PerfectHash.build(keys)
         order = np.argsort(found.slots(keys))
         arrays = [h2[order].tobytes(), np.minimum(docs[order], 2**32 - 1).astype(np.uint32).tobytes(), keeper[order].tobytes(), np.packbits(missing[order]).tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(h1)]), pa.array([int(docs.sum())]), pa.array([found.to_bytes()], pa.binary()), *[pa.array([a], pa.binary()) for a in arrays]], [c.split()[0] for c in INDEX.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(h1)]), pa.array([int(docs.sum())]), pa.array([struct.pack("<q", seed) + found.to_bytes()], pa.binary()), *[pa.array([a], pa.binary()) for a in arrays]], [c.split()[0] for c in INDEX.split(", ")])
 
     current, parts = None, []
     for batch in batches:
@@ -132,16 +137,17 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(current, parts)
 
 
-def _placing(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+def _placing(h1: np.ndarray, h2: np.ndarray, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return h1.view(np.uint64) ^ (h2.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return h1.view(np.uint64) ^ (h2.view(np.uint64) * np.uint64((0x9E3779B97F4A7C15 + 2 * seed) % 2**64))
 
 
 class Shard:
     """The arrays of one shard, asked for a whole batch of lines."""
 
     def __init__(self, row: dict):
-        self.hash = PerfectHash.from_bytes(row["hash"])
+        (self.seed,) = struct.unpack_from("<q", row["hash"])
+        self.hash = PerfectHash.from_bytes(row["hash"][8:])
         self.prints = np.frombuffer(row["prints"], np.int64)
         self.counts = np.frombuffer(row["counts"], np.uint32)
         self.keepers = np.frombuffer(row["keepers"], np.int64)
@@ -149,17 +155,17 @@ class Shard:
 
     def drops(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, no_doc: np.ndarray, min_docs: int) -> np.ndarray:
         """Which of the lines must go."""
-        slots = self.hash.slots(_placing(h1, h2))
+        slots = self.hash.slots(_placing(h1, h2, self.seed))
         at = np.maximum(slots, 0)
         held = (slots >= 0) & (self.prints[at] == h2) & (self.counts[at] >= min_docs)
         owner = np.where(self.unowned[at], no_doc, (self.keepers[at] == doc) & ~no_doc)
         return held & ~owner
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """h1, h2, docs, keeper of the keys in at least ``min_docs`` documents; docs: doc_id, text."""
+def counted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """h1, h2, docs, keeper of every distinct key; docs: doc_id, text."""
     counted = docs.select("doc_id", "text").mapInArrow(_count(min_chars), "h1 long, h2 long, docs long, keeper long")
-    return counted.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper")).filter(F.col("docs") >= min_docs)
+    return counted.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
 
 
 def build_index(lines: DataFrame, shards: int) -> DataFrame:
@@ -167,27 +173,28 @@ def build_index(lines: DataFrame, shards: int) -> DataFrame:
     return lines.mapInArrow(_with_shard(shards), "shard long, h1 long, h2 long, docs long, keeper long").repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, INDEX)
 
 
-PROBE = "shard long, salt int, kind int, doc_id long, h1 long, h2 long"
+PROBE = "shard long, salt int, kind int, doc_id long, row long, h1 long, h2 long"
 _ARRAYS = ["hash", "prints", "counts", "keepers", "unowned"]
 
 
 def _probes(min_chars: int, shards: int, copies: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            ids, rows, keys = [], [], []
+            for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 own = set(line_keys(text, min_chars)) - {None}
                 keys += own
                 ids += [doc_id] * len(own)
+                rows += [row] * len(own)
             if not keys:
                 continue
             h1, h2 = _halves(keys)
             shard = _shard_of(h1.to_numpy(), shards)
             salt = np.zeros(len(keys), np.int32)
             for hot, n in copies.items():
-                rows = np.flatnonzero(shard == hot)
-                salt[rows] = (h2.to_numpy()[rows].view(np.uint64) + np.array([(ids[i] or 0) % n for i in rows], np.uint64)) % np.uint64(n)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(salt), pa.array(np.ones(len(keys), np.int32)), pa.array(ids, pa.int64()), h1, h2], [c.split()[0] for c in PROBE.split(", ")])
+                at = np.flatnonzero(shard == hot)
+                salt[at] = (h2.to_numpy()[at].view(np.uint64) + np.array([((ids[i] or 0) + rows[i]) % n for i in at], np.uint64)) % np.uint64(n)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(salt), pa.array(np.ones(len(keys), np.int32)), pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), h1, h2], [c.split()[0] for c in PROBE.split(", ")])
 
     return run
 
@@ -210,7 +217,7 @@ def _answer(min_docs: int):
                     h1, h2 = part.column("h1").to_numpy(), part.column("h2").to_numpy()
                     go = np.flatnonzero(shard.drops(h1, h2, ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), min_docs))
                     if len(go):
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(go)), pa.array(h1[go])], ["doc_id", "h1"])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(go)), part.column("row").take(pa.array(go)), pa.array(h1[go])], ["doc_id", "row", "h1"])
 
     return run
 
@@ -239,29 +246,35 @@ def _strip(min_chars: int):
     return run
 
 
+def row_key() -> Column:
+    """What tells rows with one doc_id apart: only the lines of their own texts are theirs."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, hot_lines: int = HOT_LINES) -> DataFrame:
-    """doc_id, h1: the keys that each document loses."""
-    docs = docs.select("doc_id", "text")
-    lines = saved(repeated_lines(docs, min_chars, min_docs), "lines")
+    """doc_id, row, h1: the keys that each document loses."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row"))
+    lines = saved(counted_lines(docs, min_chars), "lines")
     keys, total = lines.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
     shards = max(1, -(-keys // SHARD_KEYS))
     index = saved(build_index(lines, shards), "line-index")
-    most = max(hot_lines, total // HOT_PARTS)
+    most = max(hot_lines, HOT_SHARE * total // shards)
     copies = {r["shard"]: -(-r["lines"] // most) for r in index.filter(F.col("lines") > most).select("shard", "lines").collect()}
     salts = F.lit(1)
     if copies:
         salts = F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for kv in copies.items() for x in kv]), F.col("shard").cast("int")), F.lit(1))
-    arrays = index.select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), *_ARRAYS)
+    nothing = [F.lit(None).cast("long").alias("doc_id"), *[F.lit(0).cast("long").alias(c) for c in ("row", "h1", "h2")]]
+    arrays = index.select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), *nothing, *_ARRAYS)
     probes = docs.mapInArrow(_probes(min_chars, shards, copies), PROBE).select("*", *[F.lit(None).cast("binary").alias(c) for c in _ARRAYS])
     both = arrays.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    return both.mapInArrow(_answer(min_docs), "doc_id long, h1 long")
+    return both.mapInArrow(_answer(min_docs), "doc_id long, row long, h1 long")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs: doc_id, text and at most one struct ``_rest`` -> the same with the
     text that stays, and _lines (before) and _dropped."""
-    drops = dropped_keys(docs, min_chars, min_docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("h1").alias("_drops"))
-    joined = docs.join(drops, same(docs["doc_id"], F.col("_id")), "left").drop("_id")
+    drops = dropped_keys(docs, min_chars, min_docs).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("h1").alias("_drops"))
+    joined = docs.join(drops, same(docs["doc_id"], F.col("_id")) & (row_key() == F.col("_row")), "left").drop("_id", "_row")
     others = [f for f in joined.schema.fields if f.name not in ("text", "_drops")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return joined.select(*[f.name for f in others], "text", "_drops").mapInArrow(_strip(min_chars), f"{schema}, text string, _lines long, _dropped long")
+    schema = StructType([*others, StructField("text", StringType()), StructField("_lines", LongType()), StructField("_dropped", LongType())])
+    return joined.select(*[f.name for f in others], F.col("text").cast("string"), "_drops").mapInArrow(_strip(min_chars), schema)

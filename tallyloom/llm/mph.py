@@ -34,7 +34,7 @@ class PerfectHash:
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        """keys: distinct uint64."""
+        """keys: distinct uint64; the caller sees to that."""
         left, levels = keys, []
         while len(left):
             size = max(64, 2 * len(left))
