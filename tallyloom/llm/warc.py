@@ -10,7 +10,8 @@ Of records with equal payloads of at least ``REVISIT_BYTES`` bytes the one with
 the largest page_id is a response, the others are revisits, which hold the HTTP
 head and the digest but no payload, and name that response.
 
-A task streams records into archives of about ``ARCHIVE_BYTES`` of payload under
+A task streams records into archives of about ``ARCHIVE_BYTES`` of payload, and of
+``ARCHIVE_RECORDS`` records at most (their index is held until the end), under
 names of its own in the shared folder and returns a row for each; those rows are
 written as a table, so an attempt that was lost leaves files that nothing names.
 Payloads move once, by page and digest, so no group of equal pages meets in a
@@ -19,7 +20,8 @@ task; the groups themselves are combined digests.
 Defined results: null html is an empty payload; a null url is left out; a null
 page_id is below all others; rows that share page_id and payload are alike, and
 if theirs is the largest page_id of the group all of them are responses; an
-empty table gives no archive and an empty result; other columns are not read.
+empty table gives no archive and an empty result; a very long payload is one
+record, and one run; other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,8 +45,10 @@ from tallyloom.llm.base import same, saved, shared_path
 from tallyloom.llm.zip_reader import BadArchive, data_offset, members
 
 REVISIT_BYTES = 1000
-ARCHIVE_BYTES = 64 << 20
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 64 << 20, 100_000
 RUN_BYTES = 4 << 20
+#: A task reads several runs where there are more of them.
+MOST_TASKS = 20_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Pages carry no time of their own.
 DATE = "1970-01-01T00:00:00Z"
@@ -157,7 +161,7 @@ class ArchiveWriter:
         return self.uri, self.out.at, len(self.index)
 
 
-def _write(folder: str, archive_bytes: int):
+def _write(folder: str, archive_bytes: int, archive_records: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(x: tuple) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in x], ["path", "bytes", "records"])
@@ -169,7 +173,7 @@ def _write(folder: str, archive_bytes: int):
                 if writer is None:
                     writer = ArchiveWriter(f"{folder}/{uuid.uuid4().hex}.zip")
                 writer.add(page_id, url, html[i].as_py(), digest, refers_to)
-                if writer.payload >= archive_bytes:
+                if writer.payload >= archive_bytes or len(writer.index) >= archive_records:
                     yield row(writer.close())
                     writer = None
         if writer is not None:
@@ -178,10 +182,10 @@ def _write(folder: str, archive_bytes: int):
     return run
 
 
-def write_archives(plan: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(plan: DataFrame, archive_bytes: int = ARCHIVE_BYTES, archive_records: int = ARCHIVE_RECORDS) -> DataFrame:
     """path, bytes, records of each archive: a written table."""
     folder = shared_path(plan.sparkSession, "archives")
-    return saved(plan.mapInArrow(_write(folder, archive_bytes), "path string, bytes long, records long"), "manifest")
+    return saved(plan.mapInArrow(_write(folder, archive_bytes, archive_records), "path string, bytes long, records long"), "manifest")
 
 
 def _range_reader(handle):
@@ -249,6 +253,12 @@ def _read(payload: bool):
 
 
 def read_archives(manifest: DataFrame, payload: bool = True, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """The records of the archives (path, bytes); payload: with those of responses."""
-    runs = manifest.select("path", "bytes").repartition("path").mapInArrow(_runs(run_bytes), "path string, start long, lengths array<long>")
-    return runs.repartition("path", "start").mapInArrow(_read(payload), PAGE + (", payload binary" if payload else ""))
+    """The records of the archives (path, bytes); payload: with those of responses.
+
+    The numbers of tasks follow from the bytes of the archives, not of the rows that
+    name them, which are so few that adaptive execution would put them in one task.
+    """
+    archives, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = min(MOST_TASKS, 1 + size // run_bytes)
+    runs = manifest.select("path", "bytes").repartition(max(1, min(archives, tasks)), "path").mapInArrow(_runs(run_bytes), "path string, start long, lengths array<long>")
+    return runs.repartition(tasks, "path", "start").mapInArrow(_read(payload), PAGE + (", payload binary" if payload else ""))
