@@ -8,8 +8,9 @@ linear model with the hinge loss is fitted by dual coordinate descent, and a
 logistic curve through the margins of labelled rows that the fit has not seen
 turns margins into scores.
 
-``SAMPLE`` bounds the labelled rows that the model is fitted on: all if there are
-fewer, else about so many drawn by a digest of the doc_id. Only they are
+``SAMPLE`` bounds the labelled documents that the model is fitted on: all if there
+are fewer, else about so many drawn by a digest of the doc_id. Each is one text,
+however many rows have its doc_id (the text of the smallest digest). Only they are
 gathered (as sets of places) and only in one task. The model is two arrays of
 2**BITS numbers; every text of the corpus is scored by it, whole.
 
@@ -19,7 +20,8 @@ and doc_id.
 
 Defined results: null and empty texts have no features and get the score of the
 model's offset; a null doc_id has no label and is not held out; null labels are
-ignored, of several labels for a doc_id the largest counts; without labels of
+ignored, of several labels for a doc_id the largest counts; very long texts are
+read whole, in pieces; equal margins are equal scores; without labels of
 both classes every score is the smoothed share of class 1; rows that repeat are
 scored alike; an empty table gives an empty result.
 """
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyloom.llm.base import saved
 
@@ -197,7 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if n > sample:
         own = own.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
     # about ``sample`` rows of two numbers at most, so they go to all tasks
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(own), "doc_id").select("doc_id", "label", "text")
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(own), "doc_id")
+    # however often a document repeats, it is learnt from once: of several texts, the one of the smallest digest
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text")).alias("one")).select(F.col("doc_id").cast("long"), "label", "one.text")
     placed = saved(rows.mapInArrow(_place_batches, "doc_id long, label int, places array<int>"), "quality-places")
     row = placed.coalesce(1).mapInArrow(_fit_all, "ratio binary, weights binary, offset double, slope double, shift double, rows long").first()
     if row is None:
@@ -219,5 +224,5 @@ def _score_batches(shared):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs: any columns but score, with text -> the same and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double"])
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     return docs.mapInArrow(_score_batches(shared), schema)
