@@ -14,12 +14,16 @@ _own_folders: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is unset (a single machine, as in tests) a folder of
-    this process is made, once for each application.
+    Only where the setting is unset and the session runs on a single machine (as in
+    tests) a folder of this process is made, once for each application; on a cluster
+    there is no folder that all could see, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
@@ -53,18 +57,30 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def packed(docs: DataFrame, *own: str) -> DataFrame:
-    """The columns ``own`` and one struct ``_rest`` of all others, whatever their names."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
-    return docs.select(*[F.col(f"`{c}`") for c in own], F.struct(*(rest or [F.lit(None).alias("none")])).alias("_rest"))
-
-
-def unpacked(df: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
-    """The columns of ``like`` in their order, taken from a packed frame."""
-    out = []
-    for c in like.columns:
-        if c in changed:
-            out.append(changed[c].alias(c))
-        else:
-            out.append((F.col(f"`{c}`") if c in df.columns else F.col(f"_rest.`{c}`")).alias(c))
-    return df.select(*out)
+    """The columns ``own`` and one struct ``_rest`` of all others, whatever their names.
+
+    The others are r0, r1, ... in it, so that no name has to pass through a schema's text.
+    """
+    rest = [F.col(quoted(c)).alias(f"r{i}") for i, c in enumerate(c for c in docs.columns if c not in own)]
+    return docs.select(*[F.col(quoted(c)) for c in own], F.struct(*(rest or [F.lit(None).cast("int").alias("none")])).alias("_rest"))
+
+
+def rest_of(like: DataFrame, *own: str) -> list[Column]:
+    """The columns of ``like`` but ``own``, taken from ``_rest``."""
+    return [F.col(f"_rest.r{i}").alias(c) for i, c in enumerate(c for c in like.columns if c not in own)]
+
+
+def unpacked(df: DataFrame, like: DataFrame, *own: str, **changed: Column) -> DataFrame:
+    """The columns of ``like`` in their order, from a frame that was packed with the same ``own``.
+
+    Only ``own`` and ``changed`` come from the frame's other columns; whatever those
+    are called, all others keep their values.
+    """
+    rest = {c: F.col(f"_rest.r{i}") for i, c in enumerate(c for c in like.columns if c not in own)}
+    return df.select(*[changed[c].alias(c) if c in changed else (F.col(quoted(c)) if c in own else rest[c].alias(c)) for c in like.columns])

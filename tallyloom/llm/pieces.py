@@ -38,6 +38,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+
+from tallyloom.llm.base import quoted
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -334,8 +337,8 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     (whether decoding the ids gave back the text)."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     others = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "ids array<int>, exact boolean"])
-    return docs.select(*[F.col(f"`{f.name}`") for f in others], F.col("text").cast("string")).mapInArrow(_encode_batches(shared), schema)
+    schema = StructType([*others, StructField("ids", ArrayType(IntegerType())), StructField("exact", BooleanType())])
+    return docs.select(*[F.col(quoted(f.name)) for f in others], F.col("text").cast("string")).mapInArrow(_encode_batches(shared), schema)
 
 
 def _decode_batches(shared):
@@ -353,5 +356,5 @@ def decode(coded: DataFrame, path: str = MODEL) -> DataFrame:
     """coded: any columns but text, with ids -> the others and text."""
     shared = coded.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     others = [f for f in coded.schema.fields if f.name != "ids"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "text string"])
-    return coded.select(*[F.col(f"`{f.name}`") for f in others], "ids").mapInArrow(_decode_batches(shared), schema)
+    schema = StructType([*others, StructField("text", StringType())])
+    return coded.select(*[F.col(quoted(f.name)) for f in others], "ids").mapInArrow(_decode_batches(shared), schema)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tallyloom.llm import ann, cuckoo, license_scan, line_dedup, mixing, near_copies, pieces, quality, secret_ledger, simhash, warc, zip_reader
-from tallyloom.llm.base import packed, saved, unpacked
+from tallyloom.llm.base import packed, saved, shared_folder, unpacked
 from tallyloom.llm.cells import divided
 from tallyloom.llm.components import components
 from tallyloom.llm.mph import PerfectHash
@@ -85,6 +85,15 @@ def test_index_update_and_deletion(docs, spark):
     assert hashlib.sha256(b"x " * 70_000).digest() not in new and len(new) == index.count() - 1
 
 
+def test_index_dealt_to_another_number_of_shards(spark):
+    rows = [(i, f"text {i}", "s") for i in range(20)]
+    named = saved(cuckoo.digests(spark.createDataFrame(rows, SCHEMA)), "t")
+    index = saved(cuckoo.update_index(named, 3), "t")
+    gone = named.filter("doc_id = 4").select("digest")
+    got = cuckoo.update_index(named.filter("doc_id >= 5"), 5, index, gone).collect()
+    assert sorted((r["keep_id"], r["group_size"]) for r in got) == [(i, 1 if i < 5 else 2) for i in range(20) if i != 4]
+
+
 # line dedup
 
 
@@ -122,6 +131,7 @@ def test_line_dedup(docs, none):
 
 def test_line_dedup_with_copied_shards(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 0)
     rows = [(i, "\n".join([f"a common line of the corpus {j % 7}" for j in range(i % 9)] + ["the most common line of all of them"]), "s") for i in range(200)]
     drops = line_dedup.dropped_keys(spark.createDataFrame(rows, SCHEMA), hot_lines=20)
     per_doc = defaultdict(int)
@@ -130,6 +140,25 @@ def test_line_dedup_with_copied_shards(spark, monkeypatch):
     assert all(per_doc[d] > 0 if n else per_doc[d] == 0 for d, _, n, _ in plain_lines(rows)) and per_doc[199] == 0
 
 
+def test_lines_placed_alike_and_rows_of_one_doc_id(spark):
+    # the placing of (a, b) is a ^ b * m: these two are placed alike by the first seed
+    m = 0x9E3779B97F4A7C15
+    h1, h2 = np.array([5, 5 ^ (m * 7) % 2**64, 9], np.uint64).view(np.int64), np.array([7, 0, 1], np.int64)
+    h2[0] = 7
+    assert len(np.unique(line_dedup._placing(h1, h2, 0))) == 2 and len(np.unique(line_dedup._placing(h1, h2, 1))) == 3
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 0]), pa.array(h1), pa.array(h2), pa.array([3, 4, 1]), pa.array([8, None, 2], pa.int64())], ["shard", "h1", "h2", "docs", "keeper"])
+    row = next(line_dedup._build(iter([batch]))).to_pylist()[0]
+    shard = line_dedup.Shard(row)
+    doc, none = np.array([8, 8, 8]), np.zeros(3, bool)
+    assert shard.drops(h1, h2, doc, none, 3).tolist() == [False, True, False]
+    # many rows without a doc_id, each with lines of its own
+    rows = [(None, "\n".join([f"a line of its own number {i}", "the most common line of all of them"]), "s") for i in range(60)] + [(4, "the most common line of all of them", "s")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA).select("doc_id", "text"))
+    assert sorted(((r["doc_id"], r["_lines"], r["_dropped"], r["text"]) for r in got.collect()), key=repr) == plain_lines(rows)
+
+
 # SimHash
 
 
@@ -382,6 +411,27 @@ def test_mix_comes_near_its_targets(spark):
     assert again.columns == ["doc_id", "text", "source", "size"] and again.count() == sum(r["repeats"] for r in got)
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_repetitions_of_rows_that_share_a_doc_id(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_RANGES", few)
+    rows = [(1, "a b c d", "s")] * 10 + [(None, f"w{i} x y", "t") for i in range(200)] + [(None, "w x y", "t")] * 100 + [(2, "", "t"), (3, None, None), (4, "one", None)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("a.b", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("size", F.lit(3)).withColumn("row", F.lit(4))
+    mixed = mixing.mix(saved(mixing.sized_documents(frame), "t")).collect()
+    target = {r["source"]: r["target"] for r in mixed}
+    taken, again = defaultdict(int), mixing.repeated(saved(frame, "t"))
+    assert again.columns == frame.columns
+    times = defaultdict(int)
+    for r in again.collect():
+        assert tuple(r)[3:] == (1, 2, 3, 4)
+        taken[r["source"]] += len(r["text"].split())
+        times[tuple(r)[:3]] += 1
+    # the longest text of s has four words, of t three
+    assert abs(taken["s"] - target["s"]) <= 2 and abs(taken["t"] - target["t"]) <= 1.5 and taken[None] in (0, 1, 2)
+    assert sum(times.values()) == sum(r["repeats"] for r in mixed) and (2, "", "t") not in times
+    assert times == {k: n for k, n in times.items()} and again.count() == sum(times.values())
+    assert all(n <= 2 for k, n in times.items() if k[0] is None and k[1] != "w x y")
+
+
 # secrets
 
 
@@ -425,8 +475,27 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert again.count() == 0 and found.count() == 5
     more, found = secret_ledger.update(versions, first, secret_ledger.RULES[:3])
     assert {tuple(r["rules"]) for r in more.collect()} == {("hex@1",)}
-    whole = secret_ledger.update(versions, None, secret_ledger.RULES[:3])[1]
-    assert sorted((r["path"], r["found"]) for r in found.collect()) == sorted((r["path"], r["found"]) for r in whole.collect())
+    assert findings_of(found) == findings_of(secret_ledger.update(versions, None, secret_ledger.RULES[:3])[1])
+
+
+def findings_of(found):
+    return sorted(((r["path"], [tuple(s) for s in r["found"]]) for r in found.collect()), key=repr)
+
+
+def test_ledger_with_other_rules_and_repeated_rows(spark):
+    """Findings follow the rules of the run, whatever a ledger holds and however often."""
+    assign, access, hexes = secret_ledger.RULES[:3]
+    versions = spark.createDataFrame(SECRETS, "path string, content string")
+    first, _ = secret_ledger.update(versions, rules=(hexes,))
+    twice = first.unionByName(first)
+    for rules in ((assign, access, hexes), (access, hexes, assign), (hexes,), (access,)):
+        got = secret_ledger.update(versions, twice, rules)
+        assert findings_of(got[1]) == findings_of(secret_ledger.update(versions, None, rules)[1])
+        assert {x for r in got[0].collect() for x in r["rules"]} == {r.name for r in rules} - {"hex@1"}
+    newer = secret_ledger.Rule("hex", 2, "[0-9a-f]{17,}")
+    more, found = secret_ledger.update(versions, twice, (assign, newer))
+    assert {tuple(r["rules"]) for r in more.collect()} == {("assign@1", "hex@2")}
+    assert findings_of(found) == findings_of(secret_ledger.update(versions, None, (assign, newer))[1])
 
 
 # licenses
@@ -584,6 +653,63 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([s >= quality.THRESHOLD for s in ones]) > 0.98
 
 
+def test_what_is_learnt_from_is_bounded(spark, monkeypatch):
+    """A labelled document that repeats is one row of the fit, and the sample bounds their number."""
+    seen = []
+    fitted = quality.saved
+    monkeypatch.setattr(quality, "saved", lambda df, name: seen.append((name, out := fitted(df, name))) or out)
+    rows = [(1, f"text {i % 3} of one", "s") for i in range(3000)] + [(i, f"text {i}", "s") for i in range(2, 200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, label int")
+    quality.train(spark.createDataFrame(rows, SCHEMA), labels, sample=10)
+    placed = dict(seen)["quality-places"]
+    assert 0 < placed.count() <= 40 and placed.groupBy("doc_id").count().filter("count > 1").count() == 0
+
+
+def test_quality_against_a_plain_version(spark):
+    """Places, ratios, the dual's conditions and the scores, each made again in plain loops."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "well", "the"] if i % 3 else ["bad", "junk", "zzz", "the"], 12)), "s") for i in range(150)] + [(150, None, "s"), (151, "", "s"), (152, "x", "s")]
+    labels = [(i, int(i % 3 > 0)) for i in range(150)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, label int"))
+
+    def plain_places(text):
+        data, out = (text or "").encode(), set()
+        for n in (1, 2, 3):
+            for i in range(len(data) - n + 1):
+                out.add(((int.from_bytes(data[i : i + n], "big") + (n << 24)) * 2654435769 % 2**32) >> (32 - quality.BITS))
+        words, run = data.split(), 1
+        for a, b in zip(words, words[1:]):
+            run = run + 1 if a == b else 1
+            out |= {n for n in range(1, quality.REPEATS + 1) if run > n}
+        return sorted(out)
+
+    text = {d: t for d, t, _ in rows}
+    learnt = [(d, y) for d, y in labels if zlib.crc32(str(d).encode()) % 5]
+    holds = np.zeros((2, 1 << quality.BITS)) + quality.SMOOTHING
+    for d, y in learnt:
+        holds[y, plain_places(text[d])] += 1
+    ratio = np.log(holds[1] / holds[1].sum()) - np.log(holds[0] / holds[0].sum())
+    assert np.allclose(model.ratio, ratio)
+
+    def margin(d):
+        at = plain_places(text[d])
+        size = np.sqrt(sum(ratio[p] ** 2 for p in at))
+        return (sum(model.weights[p] * ratio[p] for p in at) / size if size else 0.0) + model.offset
+
+    # the dual solution: its weights are a sum of the rows' vectors, and the slack of each row fits its variable
+    values = [ratio[plain_places(text[d])] / np.linalg.norm(ratio[plain_places(text[d])]) for d, _ in learnt]
+    weights, offset = quality.dual_coordinate_descent([np.array(plain_places(text[d])) for d, _ in learnt], values, np.array([y for _, y in learnt]), epochs=500)
+    primal = 0.5 * (weights @ weights + offset**2) + quality.COST * sum(max(0.0, 1 - (1 if y else -1) * (weights[plain_places(text[d])] @ v + offset)) for (d, y), v in zip(learnt, values))
+    mine = 0.5 * (model.weights @ model.weights + model.offset**2) + quality.COST * sum(max(0.0, 1 - (1 if y else -1) * margin(d)) for d, y in learnt)
+    assert mine <= 1.02 * primal + 1e-6
+    rest = np.ones(1 << quality.BITS, bool)
+    rest[sorted({p for d, _ in learnt for p in plain_places(text[d])})] = False
+    assert not model.weights[rest].any()
+    for r in quality.score(docs, model).collect():
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(model.slope * margin(r["doc_id"]) + model.shift, -30, 30))))
+
+
 def test_quality_without_labels(spark, docs, none):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, label int")
     model = quality.train(docs.select("doc_id", "text"), labels)
@@ -621,6 +747,18 @@ def test_neighbours_recall_and_rules(spark):
 
 
 def test_rows_are_packed_and_unpacked(docs):
-    odd = docs.withColumn("_rest", F.lit(1)).withColumn("a.b", F.lit(2))
-    back = unpacked(packed(odd.drop("_rest"), "doc_id", "text"), odd.drop("_rest"))
-    assert back.columns == ["doc_id", "text", "source", "a.b"] and back.count() == len(DOCS)
+    odd = docs.withColumn("_rest", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("r0", F.lit(3)).withColumn("b`c", F.lit(4))
+    back = unpacked(packed(odd, "doc_id", "text").withColumn("source", F.lit("other")), odd, "doc_id", "text")
+    assert back.columns == odd.columns and sorted(back.collect(), key=repr) == sorted(odd.collect(), key=repr)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)

@@ -77,6 +77,23 @@ def test_last_stage(spark, sf_dir, stages):
     assert all(r["text"] == texts[r["doc_id"]] for r in pieces.decode(stages[5].select("doc_id", "ids")).collect())
 
 
+CLASHES = ("_id", "_rest", "score", "_lines", "_dropped", "_drops", "_again", "a.b", "ids", "row", "size", "draw", "_source", "digest", "root", "_key", "r0", "label", "print", "times")
+
+
+def test_columns_of_any_name_keep_their_values(spark, sf_dir):
+    """Every stage with columns that have the names of its own, each holding the doc_id and its place."""
+    docs = table(spark, sf_dir, "documents").limit(300)
+    docs = saved(docs.select("*", *[(F.col("doc_id") * 100 + i).alias(c) for i, c in enumerate(CLASHES)]), "clashes")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = saved(stage(spark, docs, sf_dir), f"clash-{i}")
+        assert out.count() > 0
+        assert out.filter(" OR ".join(f"`{c}` IS DISTINCT FROM doc_id * 100 + {n}" for n, c in enumerate(CLASHES))).count() == 0
+        if i < 4:
+            assert out.columns == docs.columns
+        else:
+            assert out.columns[-3:] == ["ids_", "n_pieces", "exact"]
+
+
 def test_run(spark, sf_dir, stages):
     assert Counter(ids(corpus_pipeline.run(spark, sf_dir))) == Counter(ids(stages[5]))
     empty = table(spark, sf_dir, "documents").limit(0)
