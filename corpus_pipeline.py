@@ -10,21 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import line_dedup, mixing, near_copies as near, pieces, quality
-from tallyloom.llm.base import packed, same, saved, table, unpacked
+from tallyloom.llm.base import packed, rest_of, same, saved, table, unpacked
+
+
+#: What the stages read by name; all other columns travel packed and come back as they were.
+KEY = ("doc_id", "text")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives a quality score under its threshold go."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs, labels)
-    scored = quality.score(packed(docs, "doc_id", "text"), model)
-    return unpacked(scored.filter(F.col("score") >= quality.THRESHOLD), docs)
+    scored = quality.score(packed(docs, *KEY), model)
+    return unpacked(scored.filter(F.col("score") >= quality.THRESHOLD), docs, *KEY)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 characters and more in three documents and more stay in the last of them only."""
-    kept = line_dedup.line_dedup(packed(docs, "doc_id", "text"))
-    return unpacked(kept, docs, n_chars=F.length("text").cast(docs.schema["n_chars"].dataType))
+    kept = line_dedup.line_dedup(packed(docs, *KEY))
+    n_chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return unpacked(kept, docs, *KEY, **n_chars)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +42,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near.near_copies(docs.select("doc_id", "text"))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))).alias("first")
     stay = found.groupBy("root").agg(first).select("first._id", "first._key")
-    keyed = packed(docs, "doc_id", "text").withColumn("_text_key", near.text_key(F.col("text").cast("string")))
+    keyed = packed(docs, *KEY).withColumn("_text_key", near.text_key(F.col("text").cast("string")))
     kept = keyed.join(stay, same(F.col("doc_id"), F.col("_id")) & same(F.col("_text_key"), F.col("_key")), "left_semi")
-    return unpacked(kept.dropDuplicates(["doc_id", "_text_key"]), docs)
+    return unpacked(kept.dropDuplicates(["doc_id", "_text_key"]), docs, *KEY)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +52,21 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeated(docs)
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document, and whether they decode to its text."""
-    coded = pieces.encode(packed(docs, "doc_id", "text"))
-    others = [F.col(f"_rest.`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
-    return coded.select("doc_id", *others, "ids", F.size("ids").cast("long").alias("n_pieces"), "exact")
+    """The pieces of each document, and whether they decode to its text.
+
+    ids, n_pieces and exact take the place of the text; where documents have a column
+    of such a name, the stage's gets an underscore at its end.
+    """
+    coded = pieces.encode(packed(docs, *KEY))
+    own = {"ids": F.col("ids"), "n_pieces": F.size("ids").cast("long"), "exact": F.col("exact")}
+    return coded.select("doc_id", *rest_of(docs, *KEY), *[c.alias(_free(name, docs.columns)) for name, c in own.items()])
 
 
 STAGES = [
