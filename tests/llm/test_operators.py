@@ -721,29 +721,80 @@ def test_quality_without_labels(spark, docs, none):
 # neighbours
 
 
-def test_neighbours_recall_and_rules(spark):
+def nearest(rows, q, k=10):
+    """(vec_id, distance) of the k nearest rows to those of vec_id q, by plain loops."""
+    mine = np.array(min(v for i, v in rows if i == q))
+    own = [(float(np.linalg.norm((np.array(v) - mine) / 2**560) * 2.0**560) if abs(mine).max() > 1e150 else float(np.sqrt(((np.array(v) - mine) ** 2).sum())), i) for i, v in rows if i != q]
+    return [(i, d) for d, i in sorted(own)[:k]]
+
+
+def searched(found):
+    got = defaultdict(list)
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    return got
+
+
+@pytest.mark.parametrize("sizes", [{}, {"sample": 300, "part": 60, "split": 100}])
+def test_neighbours_recall_and_rules(spark, monkeypatch, sizes):
+    monkeypatch.setattr(ann, "LEAF_SAMPLE", 24 if sizes else 48)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 16)) + rng.normal(size=(20, 16))[rng.integers(0, 20, 3000)] * 4
     x[1000:1900] = x[7]  # one very common vector
     rows = [(i, [float(v) for v in x[i]], 0) for i in range(3000)]
     bad = [(100_000, None, 0), (100_100, [0.0] * 16, 0), (100_200, [float("nan")] * 16, 0), (100_300, [None] * 16, 0), (100_400, [1.0], 0), (None, [1.0] * 16, 0)]
     frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, rank int")
-    index = ann.build(frame)
-    asked = index.rows.filter("vec_id % 100 = 0").select("vec_id", "vector")
-    got = defaultdict(dict)
-    for r in ann.search(index, asked, chunk=200).collect():
-        got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    index = ann.build(frame, **sizes)
+    assert (len(index.subtrees) > 0) == bool(sizes) and index.recall >= ann.RECALL
+    assert index.parts.count() >= (12 if sizes else 1)
+    got = searched(ann.search(index, index.rows.filter("vec_id % 100 = 0").select("vec_id", "vector")))
     assert sorted(got) == list(range(0, 3000, 100))
     hits = 0
     for q, own in got.items():
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         want = [int(i) for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
-        hits += len({v for v, _ in own.values()} & set(want))
-        assert sorted(own) == list(range(1, 11)) and all(s == pytest.approx(d[v]) for v, s in own.values())
+        hits += len({v for v, _ in own} & set(want))
+        assert len(own) == 10 and all(s == d[v] for v, s in own) and own == sorted(own, key=lambda r: (r[1], r[0]))
     assert hits / (10 * len(got)) >= 0.9
-    assert [v for v, _ in (got[1100][i] for i in range(1, 11))] == [7, *range(1000, 1009)]
-    few = ann.neighbours(frame.filter("vec_id < 5"))
-    assert few.count() == 4 and ann.neighbours(frame.limit(0)).count() == 0
+    assert [v for v, _ in got[1100]] == [7, *range(1000, 1009)]
+
+
+def test_few_neighbours_repeats_ties_and_large_components(spark):
+    def answer(rows):
+        return searched(ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+
+    rng = np.random.default_rng(6)
+    few = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(5)]
+    assert answer(few) == {0: nearest(few, 0)} and len(answer(few)[0]) == 4
+    assert answer(few[:1]) == {} and answer([]) == {}
+    # rows of one vec_id, with one and with several vectors, and vectors of several rows
+    rows = [(i % 150, [float(v) for v in rng.integers(0, 3, 3)]) for i in range(400)]
+    rows = [r for r in rows if any(r[1])]
+    assert answer(rows) == {q: nearest(rows, q) for q in (0, 100) if any(i == q for i, _ in rows)}
+    # squares of such components are not finite, those of the last vanish
+    for size in (1e170, 1e307, 1e-200):
+        large = [(i, [float(v) * size for v in rng.uniform(-1, 1, 4)]) for i in range(120)]
+        plain = [(i, [v / size for v in x]) for i, x in large]
+        for q, own in answer(large).items():
+            want = dict(nearest(plain, q, 119))
+            assert len(own) == 10 and len({i for i, _ in own} & set(list(want)[:10])) >= 8
+            assert [d / size for _, d in own] == pytest.approx([want[i] for i, _ in own], rel=1e-9)
+    mixed = [(i, [float(v) for v in rng.uniform(-1, 1, 4)]) for i in range(1, 100)] + [(0, [1e170, 0, 0, 0]), (100, [1e170, 1e160, 0, 0])]
+    got = answer(mixed)
+    assert got[0][0] == (100, pytest.approx(1e160)) and len(got[100]) == 10
+
+
+def test_clustered_vectors_need_few_leaves(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(200, 24)) * 6
+    x = centres[rng.integers(0, 200, 12_000)] + rng.normal(size=(12_000, 24))
+    frame = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(12_000)], "vec_id long, embedding array<double>")
+    index = ann.build(frame, part=400)
+    got = searched(ann.search(index, index.rows.filter("vec_id % 100 = 0").select("vec_id", "vector")))
+    hits = sum(len({v for v, _ in own} & set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11])) for q, own in got.items())
+    assert hits / 1200 >= 0.9 and index.tree.leaves >= 30
+    assert index.visits[0] <= index.tree.leaves / 4
 
 
 def test_rows_are_packed_and_unpacked(docs):
