@@ -10,45 +10,58 @@ all runs of a template's number of words / ``CONTAINMENT`` consecutive words,
 wherever lines end. The runs are looked for in pieces of a text that overlap by
 the longest run, so that each run is whole in one piece; a piece that passes the
 filters below is held against the template run by run. The join is exact. Template
-words are ordered by their frequency over all texts, rarest first. A block with
+words are ordered by the number of texts that hold them, rarest first. A block with
 the needed overlap must share a word with the template's prefix (its first
-size - needed + 1 words), so only blocks with a prefix word are looked at; then it must have enough template words at all (length filter), and from the place of the shared word on,
-enough words must be left on both sides (positional filter). Survivors are
+size - needed + 1 words), so only blocks with a prefix word are looked at; then it must
+have enough template words at all (length filter), and from the place of the shared
+word on, enough words must be left on both sides (positional filter). Survivors are
 verified by their whole intersection.
 
+Texts are read once. That pass finds words, phrases and the template words that a
+text has anywhere; only texts with enough of them for some template, in which alone
+a block can have them, are kept for the join.
+
 Templates are a fixed list, so their words, the counts of those words and the
 prefix index are bounded by it; the index joins as a small broadcast table.
-Everything is DataFrame functions, and no text is shuffled.
+Everything is DataFrame functions.
 
 Defined results: a null text is empty, has no words and no label; places are
-null without a match; a row that repeats gets equal results; an empty table gives
-an empty result; other columns are not read.
+null without a match; equal labels count once, and equal scores are one; a row that
+repeats gets equal results; very long texts are taken whole, in pieces; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import string
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.base import same
+from tallyloom.llm.base import quoted, same, saved
 
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Wording of public license notices, as words.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 CONTAINMENT = 0.8
 #: Words of a piece, beside those it shares with the next.
@@ -61,53 +74,35 @@ def spaced(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase + _APART, string.ascii_lowercase + " " * len(_APART))
 
 
-def _spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-
-
-def phrase_places(line: Column, n_words: Column, phrase: str) -> Column:
-    """count, first and last place (in words, from 0) of a phrase; line: words with one space before, between and after."""
-    size = phrase.count(" ") + 1
-    pieces = F.split(line, f"(?<= ){phrase}(?= )", -1)
-    first = _spaces(F.element_at(pieces, 1)) - 1
-    last = n_words - (_spaces(F.element_at(pieces, -1)) - 1) - size
-    found = F.struct((F.size(pieces) - 1).cast("long").alias("count"), first.cast("long").alias("first"), last.cast("long").alias("last"))
-    none = F.struct(F.lit(0).cast("long").alias("count"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
-    return F.when(F.contains(line, F.lit(f" {phrase} ")), found).otherwise(none)
-
-
-def phrase_matches(docs: DataFrame, phrases=PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, n_words, n_base, first_word, last_word, base (array of labels)."""
-    text = F.col(f"`{text_col}`")
-    words = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), spaced(text).alias("words"))
-    words = words.select("doc_id", "text_key", F.regexp_count("words", F.lit("[^ ]+")).cast("long").alias("n_words"), "words")
-    tight = F.concat(F.lit(" "), F.trim(F.regexp_replace("words", " +", " ")), F.lit(" "))
-    # few texts hold the words of a phrase at all: only those are brought to one line
-    hint = F.lit(False)
-    for phrase, _ in phrases:
-        hint = hint | F.contains(F.col("words"), F.lit(phrase.split(" ")[-1]))
-    line = F.when(hint, tight).otherwise(F.lit(" "))
-    placed = words.select("doc_id", "text_key", "n_words", line.alias("line"))
-    placed = placed.select("doc_id", "text_key", "n_words", *[phrase_places(F.col("line"), F.col("n_words"), p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)])
-    n = [F.col(f"p{i}.count") for i in range(len(phrases))]
-    labels = F.array_compact(F.array(*[F.when(c > 0, F.lit(label)) for c, (_, label) in zip(n, phrases, strict=True)]))
-    return placed.select(
-        "doc_id",
-        "text_key",
-        "n_words",
-        sum(n, F.lit(0).cast("long")).alias("n_base"),
-        F.least(*[F.col(f"p{i}.first") for i in range(len(phrases))]).alias("first_word"),
-        F.greatest(*[F.col(f"p{i}.last") for i in range(len(phrases))]).alias("last_word"),
-        F.array_sort(labels).alias("base"),
-    )
-
-
-def word_order(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") -> list[str]:
-    """The words of the templates, rarest over all texts first (ties by the word)."""
+def phrase_places(words: Column, phrase: str) -> Column:
+    """All places (in words, from 0) where the words of a phrase stand one after another."""
+    parts = phrase.split(" ")
+    here = lambda i: reduce(lambda a, b: a & b, [F.get(words, i + at) == part for at, part in enumerate(parts)])
+    some = F.size(words) >= len(parts)
+    return F.when(some & F.array_contains(words, parts[-1]), F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), here)).otherwise(F.array().cast("array<int>"))
+
+
+def prepared(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, text_key, n_words, p0, p1, ... (places of each phrase), common (the
+    template words that it has), and, where those may be enough for a template, text."""
+    sets = [set(words.split()) for _, words in templates]
+    every = sorted(set().union(*sets))
+    text = F.col(quoted(text_col)).cast("string")
+    t = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), F.array_remove(F.split(spaced(text), " "), "").alias("words"))
+    common = F.array_intersect("words", F.array(*[F.lit(w) for w in every])) if every else F.array().cast("array<string>")
+    places = [phrase_places(F.col("words"), phrase).alias(f"p{i}") for i, (phrase, _) in enumerate(phrases)]
+    t = t.select("doc_id", "text_key", "text", F.size("words").cast("long").alias("n_words"), common.alias("common"), *places)
+    enough = F.lit(False)
+    for own in sets:
+        enough = enough | (F.size(F.array_intersect("common", F.array(*[F.lit(w) for w in sorted(own)]))) >= needed(len(own), containment))
+    return t.withColumn("text", F.when((F.size("common") > 0) & enough, F.col("text")))
+
+
+def word_order(common: DataFrame, templates=TEMPLATES) -> list[str]:
+    """The words of the templates, those that the fewest texts hold first (ties by the word)."""
     own = sorted({w for _, t in templates for w in t.split()})
-    each = docs.select(F.explode(F.split(spaced(F.col(f"`{text_col}`")), " ")).alias("word"))
     # as many rows as the templates have words
-    counts = {r["word"]: r["count"] for r in each.filter(F.col("word").isin(own)).groupBy("word").count().collect()}
+    counts = {r["word"]: r["count"] for r in common.select(F.explode("common").alias("word")).groupBy("word").count().collect()}
     return sorted(own, key=lambda w: (counts.get(w, 0), w))
 
 
@@ -147,14 +142,12 @@ def _contained(blocks: DataFrame, order: list[str], templates, containment: floa
     return met.withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
 
 
-def template_matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text", order: list[str] | None = None) -> DataFrame:
-    """doc_id, text_key, block (line number from 0), template, label, score for each line that meets a template."""
-    order = word_order(docs, templates, text_col) if order is None else order
-    text = F.col(f"`{text_col}`")
-    blocks = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")).alias("block", "line"))
+def line_matches(texts: DataFrame, order: list[str], templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, text_key, label, score for each line of ``texts`` (doc_id, text_key, text) that meets a template."""
+    blocks = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("block", "line"))
     blocks = blocks.select("doc_id", "text_key", "block", F.split(spaced(F.col("line")), " ").alias("words"))
     met = _contained(blocks, order, templates, containment)
-    return met.select("doc_id", "text_key", "block", "template", "label", (F.col("overlap") / F.col("t_size")).alias("score"))
+    return met.select("doc_id", "text_key", "label", (F.col("overlap") / F.col("t_size")).alias("score"))
 
 
 def run_words(template: str, containment: float) -> int:
@@ -162,26 +155,31 @@ def run_words(template: str, containment: float) -> int:
     return ceil(len(template.split()) / containment - 1e-9)
 
 
-def run_matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text", order: list[str] | None = None) -> DataFrame:
-    """doc_id, text_key, block (piece from 0), template, label, score (of the best run) for each piece with a run of words that meets a template."""
-    order = word_order(docs, templates, text_col) if order is None else order
+def run_matches(texts: DataFrame, order: list[str], templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, text_key, label, score (of the best run) for each piece of ``texts`` with a run of words that meets a template."""
     runs = [run_words(words, containment) for _, words in templates]
-    text = F.col(f"`{text_col}`")
-    words = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.split(F.trim(F.regexp_replace(spaced(text), " +", " ")), " ").alias("all"))
-    pieces = F.transform(F.sequence(F.lit(1), F.size("all"), F.lit(PIECE)), lambda at: F.slice("all", at, PIECE + max(runs) - 1))
+    words = texts.select("doc_id", "text_key", F.array_remove(F.split(spaced(F.col("text")), " "), "").alias("all"))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size("all"), F.lit(1)), F.lit(PIECE)), lambda at: F.slice("all", at, PIECE + max(runs) - 1))
     met = _contained(words.select("doc_id", "text_key", F.posexplode(pieces).alias("block", "words")), order, templates, containment)
     length = F.element_at(F.array(*[F.lit(n) for n in runs]), F.col("template") + 1)
     starts = F.sequence(F.lit(1), F.greatest(F.size("ranked") - length + 1, F.lit(1)))
     best = F.array_max(F.transform(starts, lambda at: F.size(F.array_intersect(F.slice("ranked", at, length), "t_own"))))
     met = met.withColumn("best", best).filter(F.col("best") >= F.col("need"))
-    return met.select("doc_id", "text_key", "block", "template", "label", (F.col("best") / F.col("t_size")).alias("score"))
+    return met.select("doc_id", "text_key", "label", (F.col("best") / F.col("t_size")).alias("score"))
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: the phrase columns, base (array), labels (array), score."""
-    base = phrase_matches(docs, phrases, id_col, text_col)
-    order = word_order(docs, templates, text_col)
-    found = template_matches(docs, templates, containment, id_col, text_col, order).unionByName(run_matches(docs, templates, containment, id_col, text_col, order))
+    """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base (array), labels (array), score."""
+    read = saved(prepared(docs, phrases, templates, containment, id_col, text_col), "license-words")
+    places = [F.col(f"p{i}") for i in range(len(phrases))]
+    at = F.concat(*places)
+    base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(p) > 0, F.lit(label)) for p, (_, label) in zip(places, phrases, strict=True)]))))
+    base = read.select("doc_id", "text_key", "n_words", F.size(at).cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"), base.alias("base"))
+    if not templates:
+        return base.drop("text_key").withColumn("labels", F.col("base")).withColumn("score", F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
+    order = word_order(read, templates)
+    texts = read.filter(F.col("text").isNotNull()).select("doc_id", "text_key", "text")
+    found = line_matches(texts, order, templates, containment).unionByName(run_matches(texts, order, templates, containment))
     # a document has at most as many labels as there are templates
     own = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("label").alias("_labels"), F.max("score").alias("_score"))
     both = base.join(own, same(base["doc_id"], F.col("_id")) & (base["text_key"] == F.col("_key")), "left")

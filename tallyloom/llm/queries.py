@@ -113,23 +113,32 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op6_sql() -> str:
-    templates = ", ".join(f"({i}, '{label}', list_distinct(string_split('{words}', ' ')))" for i, (label, words) in enumerate(license_scan.TEMPLATES))
+    """Lines, and runs of words wherever lines end; runs are tried only in texts that have the words at all."""
+    size = lambda words: license_scan.run_words(words, license_scan.CONTAINMENT)
+    templates = ", ".join(f"({i}, '{label}', list_distinct(string_split('{words}', ' ')), {size(words)})" for i, (label, words) in enumerate(license_scan.TEMPLATES))
     phrases = ", ".join(f"('{label}', string_split('{phrase}', ' '))" for phrase, label in license_scan.PHRASES)
     word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
     return f"""
 WITH bodies AS (SELECT doc_id, row_number() OVER () AS row_no, {_LOWER} AS body FROM documents),
 texts AS (SELECT *, regexp_extract_all(body, {word}) AS words FROM bodies),
-templates(template, label, own) AS (VALUES {templates}),
+templates(template, label, own, run) AS (VALUES {templates}),
 phrases(label, parts) AS (VALUES {phrases}),
 places AS (
   SELECT row_no, label, unnest(list_filter(range(0, greatest(len(words) - len(parts) + 1, 0)), lambda i: words[i + 1:i + len(parts)] = parts)) AS place
   FROM texts CROSS JOIN phrases
 ), base AS (
   SELECT row_no, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY row_no
-), blocks AS (
+), lines AS (
   SELECT row_no, list_distinct(regexp_extract_all(line, {word})) AS own FROM (SELECT row_no, unnest(string_split(body, chr(10))) AS line FROM bodies)
+), able AS (
+  SELECT row_no, words, label, t.own, run FROM (SELECT *, list_distinct(words) AS had FROM texts) x CROSS JOIN templates t
+  WHERE len(list_intersect(had, t.own)) / len(t.own)::DOUBLE >= {license_scan.CONTAINMENT}
+), runs AS (
+  SELECT row_no, label, own, run, words, unnest(range(0, greatest(len(words) - run + 1, 1))) AS spot FROM able
 ), contained AS (
-  SELECT row_no, label, len(list_intersect(b.own, t.own)) / len(t.own)::DOUBLE AS score FROM blocks b CROSS JOIN templates t
+  SELECT row_no, label, len(list_intersect(b.own, t.own)) / len(t.own)::DOUBLE AS score FROM lines b CROSS JOIN templates t
+  UNION ALL
+  SELECT row_no, label, len(list_intersect(list_distinct(words[spot + 1:spot + run]), own)) / len(own)::DOUBLE AS score FROM runs
 ), labelled AS (
   SELECT row_no, label, score FROM contained WHERE score >= {license_scan.CONTAINMENT} UNION ALL SELECT row_no, label, 1.0::DOUBLE FROM places
 ), total AS (

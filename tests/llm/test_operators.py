@@ -541,16 +541,49 @@ purpose with or without fee is hereby granted, provided that the above""",
 }
 
 
+def plain_licenses(text):
+    """(first and last place and number of phrases, labels, score) by looking at every place, line and run of words."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+    words, labels, best = find(lower), set(), 0.0
+    places = [(i, label) for phrase, label in license_scan.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    for label, template in license_scan.TEMPLATES:
+        own, n = set(template.split()), license_scan.run_words(template, license_scan.CONTAINMENT)
+        blocks = [find(line) for line in lower.split("\n")] + [words[i : i + n] for i in range(max(len(words) - n + 1, 1))]
+        score = max(len(own & set(b)) / len(own) for b in blocks)
+        if score >= license_scan.CONTAINMENT:
+            labels.add(label)
+            best = max(best, score)
+    at = [i for i, _ in places]
+    return len(words), len(at), min(at, default=None), max(at, default=None), sorted(labels | {x for _, x in places}), 1.0 if places else best
+
+
 def test_wrapped_notices(spark, none):
     rows = [(n, text, label) for n, (label, text) in enumerate(NOTICES.items())]
     # at the ends of pieces, and the words of a notice too far apart
     rows += [(100 + n, "word " * n + NOTICES["mit"] + "\nword" * 50, "mit") for n in range(100, 132, 6)]
     rows.append((300, NOTICES["bsd"].replace(" ", " far\n apart "), None))
-    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
-    for n, _, label in rows:
-        assert [x for x in got[n]["labels"] if x != "gpl"] == ([label] if label else [])
-        assert got[n]["score"] >= (0.8 if label else 0)
-    assert license_scan.run_matches(none).count() == 0
+    # a text of many pieces, and templates met in exactly 0.8 of their words and in one word less
+    rows.append((301, "filler text of no licence\n" * 4000 + NOTICES["isc"] + "\nall rights all rights reserved all rights reserved", "isc"))
+    for n, (label, template) in enumerate(license_scan.TEMPLATES):
+        own = list(dict.fromkeys(template.split()))
+        need = license_scan.needed(len(own), license_scan.CONTAINMENT)
+        rows += [(400 + 2 * n, " ".join(own[:need]), label), (401 + 2 * n, "\n".join(own[: need - 1]), None)]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA).withColumn("words", F.lit(1)).withColumn("a.b", F.lit(1))).collect()}
+    assert len(got) == len(rows)
+    for n, text, label in rows:
+        r = got[n]
+        want = plain_licenses(text)
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"]) == want[:5] and r["score"] == pytest.approx(want[5])
+        assert label is None or label in r["labels"]
+        if n < 400:
+            assert [x for x in r["labels"] if x not in ("gpl", "reserved")] == ([label] if label else [])
+
+
+def test_phrases_that_overlap_or_hold_signs(spark):
+    rows = [(1, "na na na na, 5a na", "s"), (2, "x.y [z", "s"), (3, None, "s")]
+    got = {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"], r["base"]) for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA), phrases=(("na na", "song"), ("5a", "five")), templates=()).collect()}
+    assert got == {1: (4, 0, 4, ["five", "song"]), 2: (0, None, None, []), 3: (0, None, None, [])}
 
 
 # archives
@@ -780,7 +813,7 @@ def test_few_neighbours_repeats_ties_and_large_components(spark):
             want = dict(nearest(plain, q, 119))
             assert len(own) == 10 and len({i for i, _ in own} & set(list(want)[:10])) >= 8
             assert [d / size for _, d in own] == pytest.approx([want[i] for i, _ in own], rel=1e-9)
-    mixed = [(i, [float(v) for v in rng.uniform(-1, 1, 4)]) for i in range(1, 100)] + [(0, [1e170, 0, 0, 0]), (100, [1e170, 1e160, 0, 0])]
+    mixed = [(i, [float(v) for v in rng.uniform(-1, 1, 4)]) for i in range(1, 100)] + [(0, [1e170, 0.0, 0.0, 0.0]), (100, [1e170, 1e160, 0.0, 0.0])]
     got = answer(mixed)
     assert got[0][0] == (100, pytest.approx(1e160)) and len(got[100]) == 10
 
