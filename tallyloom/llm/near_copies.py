@@ -11,20 +11,27 @@ joined so far by sketches (wider fingerprints over the set of five-word shingles
 and each edge is verified on the shingles of both whole texts.
 
 What these passes miss or refuse is then looked at in full: all pairs of texts
-under different roots go through a prefix join. In one order of all shingles, rare
-ones first, two sets that overlap enough share one of the first
-size - ceil(0.8 size) + 1, so texts meet in a cell for each of those; lengths,
-places and the parities of both sets discard only pairs that cannot overlap
-enough, and every pair left is verified like the others. As a crowd of copies that
+under different roots go through a prefix join, none left out. First, texts that
+can overlap enough with no other are told by lists. A text's list is the first
+``LIST`` * (size - ceil(0.8 size) + 1) of its shingles in the order of their hashes; two
+texts that overlap enough have a number of list entries in common that follows from
+their sizes (``list_overlap``), so a text stays only if the lists of other texts hold
+as many of its entries. Of the texts that stay, all shingles are counted; those that
+no other of them has are dropped, and then texts with less than 0.8 of theirs left.
+What is left is put in order by the number of texts that hold it, the rarest first,
+and only the first of each text (those before the last ceil(0.8 size) - 1) are cells in
+which texts meet, so a passage that many texts share brings them together only if
+it is nearly all that they have. Lengths, places and the parities of both sets
+discard only pairs that cannot overlap enough, and every pair left is verified like
+the others. As a crowd of copies that
 the fingerprints left apart would meet in all its pairs, ``CHAINS`` rounds come
 first in which a text meets only the next one in each of its cells; the last round
 takes all pairs that are under different roots still.
 
-What moves is kept small. A prefix entry moves as (shingle, text, place) to a
-task that passes on only shingles held by several texts, about a tenth. Texts are
-not moved to be compared unless they are in a candidate pair: the names of those
-texts go to all tasks up to ``FEW_TEXTS`` of them, and meet the texts by a shuffle
-beyond. Large cells are cut as ``cells`` says.
+What moves is kept small: a list entry is a hash and the name of its text, and moves
+once; texts are not moved to be compared unless they are in a candidate pair: the
+names of those texts go to all tasks up to ``FEW_TEXTS`` of them, and meet the texts
+by a shuffle beyond. Large cells are cut as ``cells`` says.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer
 words than a shingle has: the whole sequence; null, empty and blank texts have no
@@ -42,7 +49,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.base import same, saved
@@ -56,8 +63,10 @@ NEAR_WORDS, SIMILARITY, CANDIDATE_BITS = 5, 0.8, 12
 SKETCH_WORDS = 8
 #: 64-bit words of a set's parities, and of the shorter ones that go along into cells.
 MAP_WORDS, CELL_WORDS = 8, 2
-#: Texts that the order of shingles is taken from, and the most shingles it names.
-ORDER_TEXTS, ORDER_GRAMS = 20_000, 100_000
+#: How many times the shortest prefix that loses nothing is in a list.
+LIST = 1.5
+#: What an entry of a cut cell counts as when entries are put in order.
+VERY_MANY = 1 << 30
 #: Texts whose shingles are handed on at once.
 GRAM_ROWS = 128
 #: So many names of candidate texts go to all tasks.
@@ -98,34 +107,6 @@ def _gram_set(text: bytes | None, words: int, seed: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
 
 
-def _slots(grams: np.ndarray) -> np.ndarray:
-    """31 bits of each shingle: what shingles are counted by."""
-    return (grams >> np.uint64(33)).astype(np.int32)
-
-
-def _common_slots(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slots (sorted) of the shingles that many of a sample of texts hold, and in how many.
-
-    They only give the order in which prefixes are taken, so the sample decides the
-    work, never the result.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).cast(pa.binary())
-            for at in range(0, len(texts), GRAM_ROWS):
-                sets = [np.unique(_slots(_gram_set(t, words, seed))) for t in texts.slice(at, GRAM_ROWS).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["slot"])
-
-    share = min(1.0, ORDER_TEXTS / max(docs.count(), 1))
-    texts = docs.select(F.col("text").cast("string")).sample(share, 42)
-    counts = texts.mapInArrow(run, "slot int").groupBy("slot").count().filter(F.col("count") >= 5)
-    found = counts.orderBy(F.col("count").desc(), "slot").limit(ORDER_GRAMS).toArrow()
-    slots, n = found.column("slot").to_numpy(), found.column("count").to_numpy()
-    order = np.argsort(slots)
-    return slots[order], n[order]
-
-
 def prefix_size(n: int, similarity: float) -> int:
     """Two sets that overlap in ``similarity`` share one of their first so many elements, in any one order."""
     return n - ceil(similarity * n - 1e-9) + 1 if n else 0
@@ -137,22 +118,26 @@ def parity(own: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-_CELL_MAP = [f"m{i}" for i in range(CELL_WORDS)]
-SETS = "doc_id long, text_key binary, high long, low long, print long, size int, prefix array<long>, map array<long>, " + ", ".join(f"{c} long" for c in _CELL_MAP)
+def list_size(n: int, similarity: float) -> int:
+    return min(n, ceil(LIST * prefix_size(n, similarity)))
 
 
-def _set_batches(words: int, similarity: float, print_words: int, seed: int, common: tuple[np.ndarray, np.ndarray]):
-    slots, counts = common
+def list_overlap(n: int, similarity: float) -> int:
+    """The least number of entries that the list of a set of n elements shares with that of any set that overlaps in ``similarity``.
+
+    Of their common elements, in the order of hashes, the j-th stands at most j - 1
+    places behind the prefix of either, so the first list_size - prefix_size + 1
+    are in a list; the other set has similarity * n elements at least.
+    """
+    m = ceil(similarity * n - 1e-9)
+    return list_size(m, similarity) - prefix_size(m, similarity) + 1
 
-    def ordered(own: np.ndarray) -> np.ndarray:
-        """The set's prefix: rarest first, ties by the hash."""
-        often = np.zeros(len(own), np.int64)
-        if len(slots):
-            mine = _slots(own)
-            at = np.minimum(np.searchsorted(slots, mine), len(slots) - 1)
-            often = np.where(slots[at] == mine, counts[at], 0)
-        return own[np.lexsort((own, often))][: prefix_size(len(own), similarity)]
 
+_CELL_MAP = [f"m{i}" for i in range(CELL_WORDS)]
+SETS = "doc_id long, text_key binary, high long, low long, print long, size int, need int, list array<long>, map array<long>, " + ", ".join(f"{c} long" for c in _CELL_MAP)
+
+
+def _set_batches(words: int, similarity: float, print_words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
         for batch in batches:
@@ -160,14 +145,16 @@ def _set_batches(words: int, similarity: float, print_words: int, seed: int, com
                 some = batch.column(1).cast(pa.binary()).slice(at, GRAM_ROWS).to_pylist()
                 digests = np.array([_words_digest(t) for t in some], np.int64).reshape(-1, 2)
                 sets = [_gram_set(t, words, seed) for t in some]
+                sizes = [len(g) for g in sets]
                 columns = {
                     "doc_id": batch.column(0).slice(at, GRAM_ROWS),
                     "text_key": batch.column(2).slice(at, GRAM_ROWS),
                     "high": pa.array(digests[:, 0]),
                     "low": pa.array(digests[:, 1]),
                     "print": pa.array(fingerprints_of(some, print_words, seed).view(np.int64)),
-                    "size": pa.array([len(g) for g in sets], pa.int32()),
-                    "prefix": pa.array([ordered(g).view(np.int64) for g in sets], longs),
+                    "size": pa.array(sizes, pa.int32()),
+                    "need": pa.array([list_overlap(n, similarity) for n in sizes], pa.int32()),
+                    "list": pa.array([g[: list_size(len(g), similarity)].view(np.int64) for g in sets], longs),
                     "map": pa.array([parity(g, MAP_WORDS) for g in sets], longs),
                 }
                 small = np.array([parity(g, CELL_WORDS) for g in sets], np.int64).reshape(-1, CELL_WORDS)
@@ -214,18 +201,18 @@ def may_overlap(both, apart, similarity: float):
     return (both - apart) / 2 * (1 + similarity) >= similarity * both - 1e-9
 
 
-def _prefix_links(cell: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, side: np.ndarray, odd: np.ndarray, similarity: float, chain: bool) -> Iterator[np.ndarray]:
-    """Pairs of nodes under different roots that meet in a cell (a shingle of both prefixes) and may overlap enough.
+def _prefix_links(cell: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, back: np.ndarray, side: np.ndarray, odd: np.ndarray, similarity: float, chain: bool) -> Iterator[np.ndarray]:
+    """Pairs of nodes under different roots that meet in a cell (a shingle among the first of both) and may overlap enough.
 
     chain: only neighbours by size, ties in an order that each cell has of its own.
     """
     ties = (node * 0x9E3779B1 + cell * 0x85EBCA6B) & 0xFFFFFFFF
     order = np.lexsort((ties, size, cell))
-    cell, node, root, size, at, side, odd = (x[order] for x in (cell, node, root, size, at, side, odd))
+    cell, node, root, size, at, back, side, odd = (x[order] for x in (cell, node, root, size, at, back, side, odd))
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
     keep = np.repeat(mixed, np.diff(np.r_[starts, len(cell)]))
-    cell, node, root, size, at, side, odd = (x[keep] for x in (cell, node, root, size, at, side, odd))
+    cell, node, root, size, at, back, side, odd = (x[keep] for x in (cell, node, root, size, at, back, side, odd))
     if not len(cell):
         return
     # the length filter: sizes of one cell stand in order
@@ -243,9 +230,8 @@ def _prefix_links(cell: np.ndarray, node: np.ndarray, root: np.ndarray, size: np
         b = a + 1 + (np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w))
         meet = (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 2))
         a, b = a[meet], b[meet]
-        # no more can be shared before the shingle than the lesser place, nor after it than what is left
-        most_shared = np.minimum(at[a], at[b]) + 1 + np.minimum(size[a] - at[a], size[b] - at[b]) - 1
-        fits = most_shared >= np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9)
+        # no more can be shared before the shingle than the lesser place, nor from it on than what is left
+        fits = np.minimum(at[a], at[b]) + np.minimum(back[a], back[b]) >= np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9)
         a, b = a[fits], b[fits]
         both = size[a] + size[b]
         fits = may_overlap(both, np.bitwise_count(odd[a] ^ odd[b]).sum(1, dtype=np.int64), similarity)
@@ -273,7 +259,7 @@ def _prefix_batches(similarity: float, chain: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, w, node, root, size, at = (batch.column(c).to_numpy() for c in ("key", "w", "node", "root", "size", "at"))
+            key, w, node, root = (batch.column(c).to_numpy() for c in ("key", "w", "node", "root"))
             place = w >> 2
             new = np.r_[False, (np.diff(key) != 0) | (np.diff(place) != 0)]
             new[0] = (key[0], place[0]) != last
@@ -281,7 +267,7 @@ def _prefix_batches(similarity: float, chain: bool):
             cell = number + np.cumsum(new)
             number = int(cell[-1])
             odd = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in _CELL_MAP], 1)
-            values = (cell, node, root, size.astype(np.int64), at.astype(np.int64), w & 3, odd)
+            values = (cell, node, root, *(batch.column(c).to_numpy().astype(np.int64) for c in ("size", "at", "back")), w & 3, odd)
             cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
             if new.any():
                 held.append(tuple(x[:cut] for x in values))
@@ -298,7 +284,7 @@ def _prefix_batches(similarity: float, chain: bool):
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task hands on the prefix of texts of the same words once."""
+    """A task hands on the list of texts of the same words once."""
     seen = np.empty(0, np.int64)
     for batch in batches:
         high, first = np.unique(batch.column("high").to_numpy(), return_index=True)
@@ -307,58 +293,83 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(np.sort(first[fresh])))
 
 
-def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by key; those of a key that a single text holds go. A large cell's rows (parts > 0) all stay."""
-    held: list[pa.RecordBatch] = []
+def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by key and text; repeats go, and keys that a single text holds. A large cell's rows (parts > 0) all stay."""
+    held: list[tuple] = []
 
     def out() -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        key, high, parts = (t.column(c).to_numpy() for c in ("key", "high", "parts"))
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        mixed = np.minimum.reduceat(high, starts) != np.maximum.reduceat(high, starts)
-        keep = np.repeat(mixed, np.diff(np.r_[starts, len(key)])) | (parts > 0)
-        yield t.filter(pa.array(keep)).select(["key", "high", "at"])
+        key, high, parts = (np.concatenate(x) for x in zip(*held, strict=True))
+        new = np.r_[True, key[1:] != key[:-1]]
+        own = new | np.r_[True, high[1:] != high[:-1]]
+        group = np.cumsum(new) - 1
+        keep = own & ((np.bincount(group, weights=own)[group] > 1) | (parts > 0))
+        holders = np.where(parts > 0, VERY_MANY, np.bincount(group, weights=own)[group]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(high[keep]), pa.array(holders[keep])], ["key", "high", "holders"])
 
     for batch in batches:
-        key = batch.column("key").to_numpy()
-        if not len(key):
+        if not batch.num_rows:
             continue
+        values = tuple(batch.column(c).to_numpy() for c in ("key", "high", "parts"))
+        key = values[0]
+        # whole keys are taken together; the last one may go on in the next batch
         cut = int(np.searchsorted(key, key[-1]))
-        if held and (cut or key[0] != held[-1].column("key")[-1].as_py()):
-            held.append(batch.slice(0, cut))
-            held = [h for h in held if h.num_rows]
+        if held and key[0] != held[-1][0][-1]:
             yield from out()
             held = []
-        elif cut:
-            held = [batch.slice(0, cut)]
+        if cut:
+            held.append(tuple(x[:cut] for x in values))
             yield from out()
             held = []
-        held.append(batch.slice(cut))
+        held.append(tuple(x[cut:] for x in values))
     if held:
         yield from out()
 
 
-def shared_cells(prefixes: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """key, high, at of the shingles that several texts hold in their prefix. prefixes (a written table): high, prefix."""
-    once = prefixes.select("high", "prefix").mapInArrow(_once, "high long, prefix array<long>")
-    cells = once.select("high", F.posexplode("prefix").alias("at", "key"))
+def shared_entries(lists: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """key, high, holders of the entries that several texts (high) have in their lists, without repeats. lists: high, list; it is read twice."""
+    once = lists.select("high", "list").mapInArrow(_once, "high long, list array<long>")
+    cells = once.select("high", F.explode("list").alias("key"))
     large = large_cells(cells, ["key"], cell_rows)
     if large is None:
         cells = cells.withColumn("parts", F.lit(0)).repartition("key")
     else:
         cells = cells.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
         cells = cells.repartition("key", F.when(F.col("parts") > 0, F.pmod("high", "parts")))
-    return cells.select("key", "high", "at", "parts").sortWithinPartitions("key").mapInArrow(_shared_cells, "key long, high long, at int")
+    return cells.select("key", "high", "parts").sortWithinPartitions("key", "high").mapInArrow(_shared_batches, "key long, high long, holders long")
+
+
+def _full_batches(words: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, GRAM_ROWS):
+                part = batch.slice(at, GRAM_ROWS)
+                lists = [_gram_set(t, words, seed).view(np.int64) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(lists, pa.list_(pa.int64()))], ["high", "list"])
+
+    return run
+
+
+def first_cells(entries: DataFrame, sizes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """key, node, at, back: of the texts that can overlap with another the first of their shingles, the rarest first.
+
+    entries: key, node, holders, without repeats: all that are not the node's alone; sizes: node, size. at: how many shared
+    shingles of the text stand before this one, back: how many from it on.
+    """
+    text = Window.partitionBy("node")
+    need = F.ceil(F.col("size") * similarity - F.lit(1e-9))
+    rows = entries.join(sizes, "node").withColumn("shared", F.count("*").over(text)).filter(F.col("shared") >= need)
+    rows = rows.withColumn("place", F.row_number().over(text.orderBy("holders", "key"))).filter(F.col("place") <= F.col("shared") - need + 1)
+    return rows.select("key", "node", (F.col("place") - 1).alias("at"), (F.col("shared") - F.col("place") + 1).cast("int").alias("back"))
 
 
 def prefix_pairs(cells: DataFrame, maps: DataFrame, similarity: float = SIMILARITY, chain: bool = False) -> DataFrame:
     """a, b: all pairs of different roots that may overlap in ``similarity``; no pair that does is missing.
 
-    cells: key, w (see ``divided``), node, root, size, at (the key's place in the node's prefix),
-    m0, m1 (parities of the whole set); maps: node, size, map (more of them); chain: of each
-    cell only neighbours.
+    cells: key, w (see ``divided``), node, root, size, at, back (see ``first_cells``), m0, m1
+    (parities of the whole set); maps: node, size, map (more of them); chain: of each cell
+    only neighbours.
     """
-    met = cells.select("key", "w", "node", "root", "size", "at", *_CELL_MAP).repartition("key", F.shiftright("w", 2)).sortWithinPartitions("key", F.shiftright("w", 2))
+    met = cells.select("key", "w", "node", "root", "size", "at", "back", *_CELL_MAP).repartition("key", F.shiftright("w", 2)).sortWithinPartitions("key", F.shiftright("w", 2))
     pairs = met.mapInArrow(_prefix_batches(similarity, chain), "a long, b long").distinct()
     left = maps.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("map").alias("ma"))
     right = maps.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("map").alias("mb"))
@@ -411,9 +422,9 @@ def near_copies(
     """
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long"), text, text_key(text))
-    named = saved(texts.mapInArrow(_set_batches(words, similarity, print_words, seed, _common_slots(docs, words, seed)), SETS), "near-texts")
+    named = saved(texts.mapInArrow(_set_batches(words, similarity, print_words, seed), SETS), "near-texts")
     # one node for each sequence of words
-    own = [F.first(c).alias(c) for c in ("print", "size", *_CELL_MAP)]
+    own = [F.first(c).alias(c) for c in ("print", "size", "need", *_CELL_MAP)]
     classes = named.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), *own).withColumn("node", F.monotonically_increasing_id())
     classes = saved(classes, "near-classes")
     # the fingerprints join most copies at little cost; of the texts with one fingerprint, one stands in their cells
@@ -440,15 +451,19 @@ def near_copies(
     second = saved(candidates(saved(apart, "simhash-apart")).join(first, ["a", "b"], "left_anti"), "simhash-pairs")
     linked = linked.unionByName(checked(second, ends))
     # all pairs that are not joined so far and can overlap enough, none left out
-    cells = shared_cells(named).join(classes.select("high", "node", "size", *_CELL_MAP), "high").select("key", "node", "size", "at", *_CELL_MAP)
+    live = shared_entries(named).groupBy("high").agg(F.count("*").alias("shared"))
+    live = saved(classes.join(live, "high").filter(F.col("shared") >= F.col("need")).select("node", "high", "low", "first_id", "size", *_CELL_MAP), "near-live")
+    texts = saved(texts_of(live.select("node"), docs, live), "near-ends")
+    entries = shared_entries(texts.mapInArrow(_full_batches(words, seed), "high long, list array<long>")).withColumnRenamed("high", "node")
+    cells = first_cells(entries, live.select("node", "size"), similarity).join(live.select("node", "size", *_CELL_MAP), "node")
     cells = saved(divided(saved(cells, "near-cells"), ["key"], "node", CELL_ROWS), "near-cells")
-    held = cells.select("node").distinct().join(classes.select("node", "high", "low", "size"), "node")
+    held = cells.select("node").distinct().join(live.select("node", "high", "low", "size"), "node")
     maps = saved(named.select("high", "low", "map").join(held, ["high", "low"]).dropDuplicates(["node"]).select("node", "size", "map"), "near-maps")
     tried = first
     for n in range(CHAINS + 1):
         met_now = cells.join(rooted(linked).select("node", "root"), "node")
         pairs = saved(prefix_pairs(met_now, maps, similarity, chain=n < CHAINS).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        linked = linked.unionByName(checked(pairs, saved(texts_of(_both_ends(pairs), docs, classes), "near-ends")))
+        linked = linked.unionByName(checked(pairs, texts))
         tried = tried.unionByName(pairs)
     roots = saved(rooted(linked), "near-roots")
     ids = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))

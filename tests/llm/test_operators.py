@@ -293,17 +293,17 @@ def test_no_link_of_a_large_group_is_lost(spark):
 
 @pytest.mark.parametrize("cell_rows", [10, 100_000])
 def test_prefix_pairs_in_cut_cells(spark, cell_rows):
-    rows = [(5 if n < 60 else n, n, n % 7, 1, 0, 0, 0) for n in range(90)]
-    cells = divided(spark.createDataFrame(rows, "key long, node long, root long, size int, at int, m0 long, m1 long"), ["key"], "node", cell_rows)
+    rows = [(5 if n < 60 else n, n, n % 7, 1, 0, 1, 0, 0) for n in range(90)]
+    cells = divided(spark.createDataFrame(rows, "key long, node long, root long, size int, at int, back int, m0 long, m1 long"), ["key"], "node", cell_rows)
     maps = spark.createDataFrame([(n, 1, [0] * near_copies.MAP_WORDS) for n in range(90)], "node long, size int, map array<long>")
     got = sorted((r["a"], r["b"]) for r in near_copies.prefix_pairs(cells, maps).collect())
     assert got == sorted((a, b) for a in range(60) for b in range(a) if a % 7 != b % 7)
 
 
 @pytest.mark.parametrize("cell_rows", [10, 100_000])
-def test_only_shingles_of_several_texts_are_passed_on(spark, cell_rows):
+def test_only_entries_of_several_texts_are_passed_on(spark, cell_rows):
     rng = np.random.default_rng(4)
-    rows = [(int(h), [int(k) for k in rng.integers(0, 400, 5)] + [1000 + n]) for n, h in enumerate(rng.integers(0, 150, 300))]
+    rows = [(int(h), [int(k) for k in rng.choice(400, 5, replace=False)] + [1000 + n]) for n, h in enumerate(rng.integers(0, 150, 300))]
     first = {}
     for high, keys in rows:
         first.setdefault(high, keys)
@@ -312,10 +312,26 @@ def test_only_shingles_of_several_texts_are_passed_on(spark, cell_rows):
     for h, keys in rows:
         for k in keys:
             texts[k].add(h)
-    got = near_copies.shared_cells(saved(spark.createDataFrame(rows, "high long, prefix array<long>"), "t"), cell_rows).collect()
-    several = {(k, h, first[h].index(k)) for k, hs in texts.items() if len(hs) > 1 for h in hs}
-    assert several <= {(r["key"], r["high"], r["at"]) for r in got}
-    assert cell_rows == 10 or {r["key"] for r in got} == {k for k, hs in texts.items() if len(hs) > 1}
+    lists = saved(spark.createDataFrame(rows, "high long, list array<long>").repartition(7), "t")
+    found = near_copies.shared_entries(lists, cell_rows).collect()
+    got = [(r["key"], r["high"]) for r in found]
+    several = {(k, h) for k, hs in texts.items() if len(hs) > 1 for h in hs}
+    assert len(got) == len(set(got)) and several <= set(got)
+    assert cell_rows == 10 or several == set(got) and all(r["holders"] == len(texts[r["key"]]) for r in found)
+
+
+def test_lists_of_sets_that_overlap_enough_share_what_they_must():
+    rng = np.random.default_rng(13)
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        a = rng.choice(10_000, n, replace=False)
+        gone = int(rng.integers(0, n // 5 + 1))
+        b = np.r_[a[gone:], 10_000 + rng.choice(10_000, int(rng.integers(0, n // 4 + 1)), replace=False)]
+        order = rng.permutation(20_000)
+        if len(set(a) & set(b)) < 0.8 * len(set(a) | set(b)):
+            continue
+        lists = [set(x[np.argsort(order[x])][: near_copies.list_size(len(x), 0.8)]) for x in (a, b)]
+        assert len(lists[0] & lists[1]) >= max(near_copies.list_overlap(len(x), 0.8) for x in (a, b))
 
 
 def planted(rng, kind, similarity):
