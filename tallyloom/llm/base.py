@@ -57,6 +57,13 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches in slices, so that a worker never has Python objects for all texts of a batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def quoted(name: str) -> str:
     """A column's name as an expression, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.base import saved
+from tallyloom.llm.base import saved, sliced
 
 SHARD_KEYS = 50_000
 FLUSH_KEYS = 50_000
@@ -132,7 +132,7 @@ class LiveIndex:
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sha = hashlib.sha256
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         digests = [sha((t or b"").lower()).digest() for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], ["doc_id", "digest"])

@@ -34,12 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallyloom.llm.base import same, saved
+from tallyloom.llm.base import same, saved, sliced
 from tallyloom.llm.mph import PerfectHash
 
 SPACE = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 65_536
 MIN_CHARS, MIN_DOCS = 20, 3
+#: Keys that a task counts before it hands them on.
+COUNTED_KEYS = 50_000
 #: A shard with more than so many times the mean of lines is copied (so few are, whatever their number),
 HOT_SHARE = 64
 #: ... and in no case one with fewer lines.
@@ -66,9 +68,13 @@ def _halves(keys: list[bytes]) -> tuple[pa.Array, pa.Array]:
 
 
 def _count(min_chars: int):
+    def row(seen: dict[bytes, list]) -> pa.RecordBatch:
+        h1, h2 = _halves(list(seen))
+        return pa.RecordBatch.from_arrays([h1, h2, pa.array([e[0] for e in seen.values()], pa.int64()), pa.array([e[1] for e in seen.values()], pa.int64())], ["h1", "h2", "docs", "keeper"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[bytes, list] = {}
+        seen: dict[bytes, list] = {}
+        for batch in sliced(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 for key in set(line_keys(text, min_chars)):
                     if key is None:
@@ -80,9 +86,11 @@ def _count(min_chars: int):
                         entry[0] += 1
                         if doc_id is not None and (entry[1] is None or doc_id > entry[1]):
                             entry[1] = doc_id
-            if seen:
-                h1, h2 = _halves(list(seen))
-                yield pa.RecordBatch.from_arrays([h1, h2, pa.array([e[0] for e in seen.values()], pa.int64()), pa.array([e[1] for e in seen.values()], pa.int64())], ["h1", "h2", "docs", "keeper"])
+            if len(seen) >= COUNTED_KEYS:
+                yield row(seen)
+                seen = {}
+        if seen:
+            yield row(seen)
 
     return run
 
@@ -179,7 +187,7 @@ _ARRAYS = ["hash", "prints", "counts", "keepers", "unowned"]
 
 def _probes(min_chars: int, shards: int, copies: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, rows, keys = [], [], []
             for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 own = set(line_keys(text, min_chars)) - {None}
@@ -224,7 +232,7 @@ def _answer(min_docs: int):
 
 def _strip(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             kept, before, gone = [], [], []
             for text, drops in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_drops").to_pylist(), strict=True):
                 text = text or b""

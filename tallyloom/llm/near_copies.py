@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.base import same, saved
+from tallyloom.llm.base import same, saved, sliced
 from tallyloom.llm.cells import divided, large_cells
 from tallyloom.llm.components import components
 from tallyloom.llm.simhash import CELL_ROWS, CHUNK, SEED, SHINGLE, fingerprints_of, near_links, sampled_masks, shingle_hashes
@@ -169,7 +169,7 @@ def _both_ends(pairs: DataFrame) -> DataFrame:
 
 
 def _named_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column(0).cast(pa.binary()).to_pylist()
         digests = np.array([_words_digest(t) for t in texts], np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), batch.column(0)], ["high", "low", "text"])
@@ -189,7 +189,7 @@ def texts_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
 def _sketch_batches(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sketches = [sketch_of(_gram_set(t, words, seed).view(np.int64)).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.list_(pa.int64()))], ["node", "sketch"])
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyloom.llm.base import saved
+from tallyloom.llm.base import saved, sliced
 
 BITS, ORDERS = 18, (1, 2, 3)
 #: The n-grams of 2 to REPEATS + 1 equal words, whatever the word, have places of their own.
@@ -171,20 +171,25 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 
 
 def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mask = np.zeros(1 << BITS, bool)
-    for batch in batches:
-        found = [places(t, mask) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "places"])
+    """A task hands on each document once; there are no more than the sample has."""
+    mask, seen = np.zeros(1 << BITS, bool), set()
+    for batch in sliced(batches):
+        fresh = [i for i, d in enumerate(batch.column("doc_id").to_pylist()) if not (d in seen or seen.add(d))]
+        part = batch.take(pa.array(fresh, pa.int64()))
+        found = [places(t, mask) for t in part.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "places"])
 
 
 def _fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = []
+    held: dict[int, tuple[int, np.ndarray]] = {}
     for batch in batches:
         lists = batch.column("places")
-        found += [(d, y, lists[i].values.to_numpy()) for i, (d, y) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), strict=True))]
-    found.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+        for i, (d, y) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), strict=True)):
+            if d not in held:
+                held[d] = (y, lists[i].values.to_numpy().copy())
     # neighbours in doc_id go to different folds whatever their label
-    model = fit([r[2] for r in found], np.array([r[1] for r in found], np.int64))
+    found = [held[d] for d in sorted(held)]
+    model = fit([r[1] for r in found], np.array([r[0] for r in found], np.int64))
     yield pa.RecordBatch.from_arrays([pa.array([model.ratio.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), *[pa.array([x]) for x in (model.offset, model.slope, model.shift)], pa.array([len(found)])], ["ratio", "weights", "offset", "slope", "shift", "rows"])
 
 
@@ -200,9 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if n > sample:
         own = own.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
     # about ``sample`` rows of two numbers at most, so they go to all tasks
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(own), "doc_id")
+    texts = docs.select("doc_id", F.col("text").cast("string"))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
     # however often a document repeats, it is learnt from once: of several texts, the one of the smallest digest
-    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text")).alias("one")).select(F.col("doc_id").cast("long"), "label", "one.text")
+    one = texts.join(F.broadcast(own), "doc_id").groupBy("doc_id", "label").agg(F.min(digest).alias("digest"))
+    one = saved(one, "quality-texts")
+    rows = texts.join(F.broadcast(one), "doc_id").filter(digest == F.col("digest")).select(F.col("doc_id").cast("long"), "label", "text")
     placed = saved(rows.mapInArrow(_place_batches, "doc_id long, label int, places array<int>"), "quality-places")
     row = placed.coalesce(1).mapInArrow(_fit_all, "ratio binary, weights binary, offset double, slope double, shift double, rows long").first()
     if row is None:
@@ -214,7 +222,7 @@ def _score_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         mask = np.zeros(1 << BITS, bool)
-        for batch in batches:
+        for batch in sliced(batches):
             margins = np.array([model.margin(places(t, mask)) for t in batch.column("text").cast(pa.binary()).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(margins))], [*batch.schema.names, "score"])
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.base import saved
+from tallyloom.llm.base import saved, sliced
 from tallyloom.llm.cells import PLACE_BITS, divided
 from tallyloom.llm.components import components
 
@@ -99,7 +99,7 @@ def fingerprints_of(texts: list[bytes | None], words: int = SHINGLE, seed: int =
 
 def _fingerprint_batches(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             prints = fingerprints_of(batch.column(1).cast(pa.binary()).to_pylist(), words, seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
 

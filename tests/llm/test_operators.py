@@ -709,9 +709,14 @@ def test_what_is_learnt_from_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(quality, "saved", lambda df, name: seen.append((name, out := fitted(df, name))) or out)
     rows = [(1, f"text {i % 3} of one", "s") for i in range(3000)] + [(i, f"text {i}", "s") for i in range(2, 200)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, label int")
-    quality.train(spark.createDataFrame(rows, SCHEMA), labels, sample=10)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    model = quality.train(docs, labels, sample=10)
     placed = dict(seen)["quality-places"]
-    assert 0 < placed.count() <= 40 and placed.groupBy("doc_id").count().filter("count > 1").count() == 0
+    once = quality.train(docs.dropDuplicates(["doc_id", "text"]).filter("doc_id > 1 OR text = 'none'").unionByName(docs.filter("doc_id = 1").join(placed.select("doc_id").distinct(), "doc_id", "left_semi")), labels, sample=10)
+    assert np.array_equal(model.weights, once.weights) and model.offset == once.offset
+    placed = dict(seen)["quality-places"]
+    # each task hands on a document once, always the same text of it
+    assert 0 < placed.count() <= 40 and placed.groupBy("doc_id").agg(F.countDistinct("places").alias("n")).filter("n > 1").count() == 0
 
 
 def test_quality_against_a_plain_version(spark):
