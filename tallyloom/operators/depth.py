@@ -36,6 +36,8 @@ def totals(matrix: CountMatrix) -> DataFrame:
 
 def cell_stats(matrix: CountMatrix) -> DataFrame:
     """cell_id, ti, di for every cell: its total and the kept genes that it lacks."""
+    if "cells" in matrix.known:
+        return matrix.known["cells"]
     genes = _gene_sums(matrix).agg(F.count("*").alias("ng"))
     joined = matrix.cells.select("cell_id").join(_cell_sums(matrix), "cell_id", "left").crossJoin(F.broadcast(genes))
     return joined.select("cell_id", F.coalesce("s", F.lit(0.0)).alias("ti"), (F.col("ng") - F.coalesce("n", F.lit(0))).alias("di"))
@@ -52,3 +54,10 @@ def size_factors(cells: DataFrame) -> DataFrame:
     median = cells.agg(F.median(F.when(F.col("ti") > 0, F.col("ti"))).alias("median"))
     factor = F.when(F.col("ti") > 0, F.col("ti") / F.col("median")).otherwise(1.0)
     return cells.crossJoin(F.broadcast(median)).select("cell_id", factor.alias("size_factor"))
+
+
+def normalized(matrix: CountMatrix, scale: float = 10_000.0) -> DataFrame:
+    """cell_id, gene_id, value for the stored entries: the count's share of its cell's total, times ``scale``; 0 in cells without counts."""
+    x = whole(F.col("x"))
+    joined = matrix.counts.join(cell_stats(matrix).select("cell_id", "ti"), "cell_id")
+    return joined.select("cell_id", "gene_id", F.when(F.col("ti") > 0, x / F.col("ti") * F.lit(scale)).otherwise(0.0).alias("value"))

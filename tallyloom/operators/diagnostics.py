@@ -13,7 +13,7 @@ CURVE_POINTS, THIN_GENES = 100, 20_000
 
 
 def volcano(tests: DataFrame, q_threshold: float = Q, effect_threshold: float = EFFECT) -> DataFrame:
-    """gene_id, effect_size, q_value, neg_log10_q, colour.
+    """gene_id, effect_size, p_value, q_value, neg_log10_q, colour.
 
     Zeros among q become the smallest positive q (missing if there is none).
     """
@@ -22,12 +22,12 @@ def volcano(tests: DataFrame, q_threshold: float = Q, effect_threshold: float =
     t = tests.withColumn("q_value", F.when(F.col("q_value") == 0, least).otherwise(F.col("q_value")))
     q, effect = F.col("q_value"), F.col("effect_size")
     colour = F.when((q < q_threshold) & (effect > effect_threshold), "red").when((q < q_threshold) & (effect < -effect_threshold), "blue").otherwise("grey")
-    return t.select("gene_id", "effect_size", "q_value", (-F.log10(q)).alias("neg_log10_q"), colour.alias("colour"))
+    return t.select("gene_id", "effect_size", "p_value", "q_value", (-F.log10(q)).alias("neg_log10_q"), colour.alias("colour"))
 
 
 def volcano_labels(points: DataFrame, top_n: int = NAMED) -> DataFrame:
-    """The top_n genes by q."""
-    return points.orderBy(F.col("q_value").asc_nulls_last(), F.col("effect_size").desc(), "gene_id").limit(top_n)
+    """The top_n genes by q, and of equal q (corrections make many) by p."""
+    return points.orderBy(F.col("q_value").asc_nulls_last(), F.col("p_value").asc_nulls_last(), "gene_id").limit(top_n)
 
 
 def dispersion_points(fit: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ def fit_dispersion(matrix: CountMatrix) -> DataFrame:
     The gene's total is a factor of all its expected counts, so the entries meet only the cells' totals;
     one aggregation gives the sums of x^2 and x * ti.
     """
+    if "fit" in matrix.known:
+        return matrix.known["fit"]
     cells = cell_stats(matrix)
     x = whole(F.col("x"))
     sums = matrix.counts.join(cells.select("cell_id", "ti"), "cell_id").groupBy("gene_id").agg(F.sum(x).alias("tj"), F.count("*").alias("detected"), F.sum(x * x).alias("xx"), F.sum(x * F.col("ti")).alias("xt"))

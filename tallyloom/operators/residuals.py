@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,9 +120,27 @@ def sampling_rate(cells: int, genes: int, sampled: float = SAMPLED) -> float:
     return min(1.0, sampled / (cells * genes)) if cells and genes else 1.0
 
 
+def poisson_steps(rate: float) -> list[float]:
+    """P(draws <= 0), P(draws <= 1), ... of a pair that is drawn ``rate`` times on average, up to double precision."""
+    steps, term, total = [], exp(-rate), 0.0
+    while len(steps) < 64 and total + term < 1.0 - 2.0**-52:
+        total += term
+        steps.append(total)
+        term *= rate / len(steps)
+    return steps
+
+
 def residual_sample(residuals: DataFrame, rate: float, seed: int = 0) -> DataFrame:
-    """Pairs drawn with replacement by a seed, both residuals of a pair together."""
-    return residuals.sample(True, rate, seed)
+    """Pairs drawn with replacement, both residuals of a pair together.
+
+    A pair's number of draws follows from a digest of its ids and the seed, so the sample is
+    the same however the rows are dealt to tasks.
+    """
+    pair = F.concat_ws(":", F.lit(str(seed)), F.col("cell_id").cast("string"), F.col("gene_id").cast("string"))
+    chance = F.conv(F.substring(F.md5(pair), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+    draws = sum([(chance >= step).cast("int") for step in poisson_steps(rate)], F.lit(0))
+    drawn = residuals.withColumn("_draws", draws).filter("_draws > 0")
+    return drawn.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.col("_draws")))).drop("_draw", "_draws")
 
 
 def shown(sample: DataFrame, most: float = SHOWN) -> DataFrame:

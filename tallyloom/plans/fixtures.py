@@ -26,7 +26,7 @@ def _by_customer(spark: SparkSession, sf_dir: str, x, where=None) -> CountMatrix
     joined = lines.join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     counts = joined.groupBy(F.col("o_custkey").alias("cell_id"), F.col("l_partkey").alias("gene_id")).agg(x.cast("double").alias("x"))
     cells = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell_id"))
-    return CountMatrix(counts, cells, _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene_id")))
+    return CountMatrix(counts, cells, _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene_id"), F.col("p_name").alias("gene")))
 
 
 def supplier_parts(spark, sf_dir):

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.normal import normal_tail_sql
 from tallyloom.operators import corrections, depth, diagnostics, dispersion, dropout, residuals
+from tallyloom.operators.fitted import fitted
 from tallyloom.plans import fixtures as fx
 from tallyloom.sources.sinks import dense_rows
+from tallyloom.sources.work import shared_path
 from tallyloom.streaming.stats import streaming_gene_stats
 
 
@@ -82,9 +84,14 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Queries that need no fit; all others make one, once.
+PLAIN = {"gene_mask", "cell_stats", "cell_stats_empty", "gene_stats", "totals", "size_factors", "normalized", "normalized_empty"}
+
+
 def _add(name: str, fixture, make, sql: str | None) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return make(fixture(spark, sf_dir))
+        matrix = fixture(spark, sf_dir)
+        return make(matrix if name in PLAIN else fitted(matrix, write_counts=True))
 
     query.__name__ = name
     QUERIES[name] = query
@@ -130,14 +137,19 @@ for _name, _fx in (("dropout_test", fx.customer_parts_planted), ("dropout_test_e
 _add("select_dropout", fx.customer_parts_planted, lambda m: _logs(dropout.select_dropout(m)), _full(fx.customer_parts_planted) + _LOGS + " WHERE q_value < 0.05")
 
 
+_add("select_dropout_labelled", fx.customer_parts_planted, lambda m: m.labelled(dropout.select_dropout(m)).select("gene", "gene_id", r("effect_size")), _full(fx.customer_parts_planted) + f"SELECT p_name AS gene, gene_id, {rs('effect_size', 'effect_size')} FROM qv LEFT JOIN part ON p_partkey = gene_id WHERE q_value < 0.05")
+for _name, _fx in (("normalized", fx.user_events), ("normalized_empty", fx.customer_parts_sparse)):
+    _add(_name, _fx, lambda m: depth.normalized(m).select("cell_id", "gene_id", r("value")), _prelude(_fx) + f"SELECT cell_id, gene_id, {rs('CASE WHEN ti > 0 THEN c / ti * 10000.0 ELSE 0.0 END', 'value')} FROM counts JOIN cs USING (cell_id)")
+
+
 def _volcano(m) -> DataFrame:
     return diagnostics.volcano(dropout.dropout_test(m))
 
 
-_VOLCANO = ", least_q AS (SELECT min(q_value) AS least FROM qv WHERE q_value > 0), vo AS (SELECT gene_id, effect_size, CASE WHEN q_value = 0 THEN least ELSE q_value END AS q FROM qv, least_q), vc AS (SELECT *, CASE WHEN q < 0.05 AND effect_size > 0.25 THEN 'red' WHEN q < 0.05 AND effect_size < -0.25 THEN 'blue' ELSE 'grey' END AS colour FROM vo)"
+_VOLCANO = ", least_q AS (SELECT min(q_value) AS least FROM qv WHERE q_value > 0), vo AS (SELECT gene_id, effect_size, p_value AS p, CASE WHEN q_value = 0 THEN least ELSE q_value END AS q FROM qv, least_q), vc AS (SELECT *, CASE WHEN q < 0.05 AND effect_size > 0.25 THEN 'red' WHEN q < 0.05 AND effect_size < -0.25 THEN 'blue' ELSE 'grey' END AS colour FROM vo)"
 _VOLCANO_COLUMNS = f" SELECT gene_id, {rs('effect_size', 'effect_size')}, {rs('-log10(q)', 'neg_log10_q', 4)}, colour FROM vc"
 _add("volcano", fx.customer_parts_planted, lambda m: _volcano(m).select("gene_id", r("effect_size"), r("neg_log10_q", 4), "colour"), _full(fx.customer_parts_planted) + _VOLCANO + _VOLCANO_COLUMNS)
-_add("volcano_labels", fx.customer_parts_planted, lambda m: diagnostics.volcano_labels(_volcano(m)).select("gene_id", r("effect_size"), r("neg_log10_q", 4), "colour"), _full(fx.customer_parts_planted) + _VOLCANO + _VOLCANO_COLUMNS + " ORDER BY q, vc.effect_size DESC, gene_id LIMIT 10")
+_add("volcano_labels", fx.customer_parts_planted, lambda m: diagnostics.volcano_labels(_volcano(m)).select("gene_id", r("effect_size"), r("neg_log10_q", 4), "colour"), _full(fx.customer_parts_planted) + _VOLCANO + _VOLCANO_COLUMNS + " ORDER BY q, p, gene_id LIMIT 10")
 _COMPARE = _prelude(fx.customer_parts_planted) + _BASIC + _trend("fit", "tr") + _SMOOTH + _PAIRS + _trend("basic", "btr") + f""",
 adj AS (SELECT gene_id, sum(p) / nc AS adj_fit FROM pairs, tot GROUP BY gene_id, nc),
 bas AS (SELECT gene_id, {_p('es', '(total / nc)')} AS bas_fit FROM (SELECT basic.*, exp(intercept + slope * ln(mean)) AS es FROM basic, btr), tot),
@@ -162,8 +174,17 @@ def sampled_pairs(m, sampled: float = residuals.SAMPLED) -> DataFrame:
     return residuals.shown(residuals.residual_sample(residuals.pearson_residuals(m), rate, 1))
 
 
-_add("residual_sample", fx.supplier_parts, sampled_pairs, None)
-_add("residual_density", fx.supplier_parts, lambda m: residuals.density(sampled_pairs(m), "full"), None)
+# a pair's number of draws in plain SQL: the product of uniform terms is summed up again for the rate of the tables
+_DRAWN = _RES + """, dims AS (SELECT least(1.0::DOUBLE, 5e6::DOUBLE / ((SELECT count(*) FROM cs) * (SELECT count(*) FROM fit))) AS rate),
+terms AS (SELECT k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS term FROM generate_series(0, 40) AS g(k), dims),
+steps AS (SELECT k, sum(term) OVER (ORDER BY k) AS step FROM terms),
+chances AS (SELECT *, CAST('0x' || substr(md5('1:' || cell_id || ':' || gene_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS chance FROM rv WHERE approx > -10 AND approx < 10),
+drawn AS (SELECT cell_id, gene_id, x, approx, "full" FROM chances JOIN steps ON chance >= step AND step < 1.0 - 1e-12)"""
+_DENSITY = """, bins AS (SELECT floor(("full" + 10.0) / (20.0::DOUBLE / 2000)) AS b, count(*) AS n, sum("full") AS s, sum("full" * "full") AS ss FROM drawn WHERE "full" > -10 AND "full" < 10 GROUP BY 1),
+spread AS (SELECT sum(n)::DOUBLE AS total, sqrt((sum(ss) - sum(s) * sum(s) / sum(n)) / greatest(sum(n) - 1, 1)) * pow(sum(n), -0.2) AS h FROM bins),
+grid AS (SELECT -10.0 + i * (20.0::DOUBLE / 199) AS spot FROM generate_series(0, 199) AS g(i))"""
+_add("residual_sample", fx.supplier_parts, lambda m: sampled_pairs(m).select("cell_id", "gene_id", "x", r("approx"), r("full")), _prelude(fx.supplier_parts) + _DRAWN + f" SELECT cell_id, gene_id, x, {rs('approx', 'approx')}, {rs(chr(34) + 'full' + chr(34), chr(34) + 'full' + chr(34))} FROM drawn")
+_add("residual_density", fx.supplier_parts, lambda m: residuals.density(sampled_pairs(m), "full").select(r("at"), r("density")), _prelude(fx.supplier_parts) + _DRAWN + _DENSITY + f" SELECT {rs('spot', chr(34) + 'at' + chr(34))}, {rs('sum(n * exp(-pow((spot - s / n) / h, 2) / 2) / (h * sqrt(2 * pi()))) / total', 'density')} FROM bins, spread, grid GROUP BY spot, total")
 
 
 def _part_p(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,10 +221,15 @@ def streaming_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a file stream reads folders
     lines = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
     entries = lines.select(F.col("l_suppkey").alias("cell_id"), F.col("l_partkey").alias("gene_id"), F.col("l_quantity").alias("x"))
-    name = "streamed_gene_totals"
-    run = streaming_gene_stats(entries).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    # every batch's totals replace those of the batch before, in a table that tasks write and read
+    place = shared_path(spark, "streamed-gene-totals")
+
+    def put(totals: DataFrame, number: int) -> None:
+        totals.write.mode("overwrite").parquet(place)
+
+    run = streaming_gene_stats(entries).writeStream.outputMode("complete").foreachBatch(put).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(place)
 
 
 QUERIES["streaming_gene_stats"] = streaming_totals

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +14,25 @@ class CountMatrix:
     cells: cell_id and other columns (all cells, also those without an entry);
     genes: gene_id and other columns.
 
-    A pair (cell_id, gene_id) must occur once; ``summed`` makes it so.
+    A pair (cell_id, gene_id) must occur once; ``summed`` makes it so. known: tables that
+    were made of it before (``operators.fitted``).
     """
 
     counts: DataFrame
     cells: DataFrame
     genes: DataFrame
+    known: dict[str, DataFrame] = field(default_factory=dict, compare=False)
+
+    def knowing(self, **tables: DataFrame) -> CountMatrix:
+        return CountMatrix(self.counts, self.cells, self.genes, self.known | tables)
+
+    def labelled(self, table: DataFrame) -> DataFrame:
+        """``table`` with the labels (columns ``gene``, ``cell``) of its ids in front, where the matrix has them."""
+        for kind, own in (("cell", self.cells), ("gene", self.genes)):
+            if f"{kind}_id" in table.columns and kind in own.columns:
+                table = table.join(own.select(f"{kind}_id", kind), f"{kind}_id", "left")
+                table = table.select(kind, *[c for c in table.columns if c != kind])
+        return table
 
     def summed(self) -> CountMatrix:
         return CountMatrix(self.counts.groupBy("cell_id", "gene_id").agg(F.sum("x").alias("x")), self.cells, self.genes)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.normal import normal_tail
 from tallyloom.operators import corrections, depth, diagnostics, dispersion, dropout, residuals
-from tallyloom.plans import fixtures, queries
+from tallyloom.operators.fitted import fitted
+from tallyloom.plans import fixtures, flow, queries
 from tallyloom.sources.h5ad import balanced_ranges
 from tallyloom.sources.matrix import CountMatrix, read_matrix
 from tallyloom.sources.sinks import dense_rows, finished, stage, write_csv
@@ -221,7 +222,7 @@ def test_planted_genes_are_found(spark):
 
 
 def test_volcano_zeros(spark):
-    t = spark.createDataFrame([(0, 0.5, 0.0), (1, -0.5, 0.01), (2, 0.0, 0.2)], "gene_id long, effect_size double, q_value double")
+    t = spark.createDataFrame([(0, 0.5, 0.001, 0.0), (1, -0.5, 0.002, 0.01), (2, 0.0, 0.1, 0.2)], "gene_id long, effect_size double, p_value double, q_value double")
     got = table(diagnostics.volcano(t), "gene_id", "q_value", "colour")
     assert got == {0: (0.01, "red"), 1: (0.01, "blue"), 2: (0.2, "grey")}
     assert [r["gene_id"] for r in diagnostics.volcano_labels(diagnostics.volcano(t), 2).collect()] == [0, 1]
@@ -229,6 +230,11 @@ def test_volcano_zeros(spark):
     assert zeros.first()["q_value"] is None
 
 
+def test_equal_q_is_labelled_by_p(spark):
+    t = spark.createDataFrame([(0, 0.9, 0.03, 0.04), (1, 0.3, 0.01, 0.04), (2, 0.5, 0.02, 0.04), (3, 0.1, None, None)], "gene_id long, effect_size double, p_value double, q_value double")
+    assert [r["gene_id"] for r in diagnostics.volcano_labels(diagnostics.volcano(t)).collect()] == [1, 2, 0, 3]
+
+
 def test_histogram_edges(spark):
     v = spark.createDataFrame([(5.0,), (5.0001,), (-5.0,), (0.0,)], "v double")
     got = table(residuals.residual_histogram(v, "v"), "bin", "density")
@@ -237,9 +243,10 @@ def test_histogram_edges(spark):
 
 
 def test_sample_is_seeded_and_density_sums_to_one(spark):
-    t = spark.range(4000).select(((F.rand(1) - 0.5) * 4).alias("approx"), F.lit(0.0).alias("full"))
-    a, b = (residuals.residual_sample(t, 0.3, 5).agg(F.sum("approx")).first()[0] for _ in range(2))
-    assert a == b
+    t = spark.range(4000).select((F.col("id") % 40).alias("cell_id"), F.floor(F.col("id") / 40).alias("gene_id"), ((F.rand(1) - 0.5) * 4).alias("approx"), F.lit(0.0).alias("full"))
+    a, b, other = (sorted((r["cell_id"], r["gene_id"]) for r in residuals.residual_sample(t.repartition(n), 0.3, seed).collect()) for n, seed in ((3, 5), (7, 5), (3, 6)))
+    assert a == b != other and len(a) == pytest.approx(1200, rel=0.1) and len(set(a)) < len(a)
+    assert residuals.poisson_steps(0.3)[:2] == pytest.approx([math.exp(-0.3), 1.3 * math.exp(-0.3)])
     rows = residuals.density(t, "approx").collect()
     assert sum(r["density"] for r in rows) * 20 / 199 == pytest.approx(1.0, abs=0.02)
     assert residuals.sampling_rate(10, 10) == 1.0 and residuals.sampling_rate(10**6, 10**4) == 5e-4
@@ -286,3 +293,106 @@ def test_comparison_points_thin_above_the_most(spark):
     rows = spark.createDataFrame([(g, float(g)) for g in range(11)], "gene_id long, mean_expr double")
     assert diagnostics.comparison_points(rows).count() == diagnostics.comparison_points(rows, 11).count() == 11
     assert sorted(r["gene_id"] for r in diagnostics.comparison_points(rows, 10).collect()) == [0, 2, 4, 6, 8, 10]
+
+
+def test_without_a_trend_the_message_says_so(spark):
+    m = matrix(spark, [(c, g, 1.0) for c in range(3) for g in range(2)], [0, 1, 2])
+    with pytest.raises(Exception, match="no trend: the eligible genes have no two different means"):
+        dropout.dropout_z(m).collect()
+
+
+@pytest.mark.parametrize("method", ["fdr_tsbh", "fdr_tsbky"])
+def test_two_stages_against_plain_loops(spark, method):
+    rng = np.random.default_rng(3)
+    p = np.r_[rng.uniform(size=60) ** 4, rng.uniform(size=40), 0.0, 1.0]
+    n, alpha = len(p), 0.05
+
+    def bh(values):
+        order, q, least = np.argsort(values), np.empty(n), 1.0
+        for rank in range(n, 0, -1):
+            least = min(least, values[order[rank - 1]] * n / rank)
+            q[order[rank - 1]] = least
+        return q
+
+    # the first stage rejects at alpha (at alpha / (1 + alpha) for tsbky) and so tells how many null hypotheses are left
+    level = alpha if method == "fdr_tsbh" else alpha / (1 + alpha)
+    rejected = sum(q <= level for q in bh(p))
+    left = n - rejected if 0 < rejected < n else n
+    factor = 1.0 if method == "fdr_tsbh" else 1 + alpha
+    t = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "gene_id long, p_value double")
+    got = table(corrections.adjusted(t, method, alpha=alpha), "gene_id", "q_value")
+    assert 0 < rejected < n
+    assert [got[i] for i in range(n)] == pytest.approx([min(1.0, q * left / n * factor) for q in bh(p)])
+
+
+class Group(dict):
+    attrs: dict = {}
+
+
+def test_h5ad_reader(monkeypatch):
+    """The reader against a stand-in for the file library: every range gives its rows' entries."""
+    import sys
+    import types
+
+    from tallyloom.sources import h5ad
+
+    indptr = np.array([0, 3, 3, 4, 9, 11])
+    indices, data = np.array([0, 2, 5, 1, 0, 1, 2, 3, 4, 5, 0]), np.arange(11) + 0.5
+    x = Group(indptr=indptr, indices=indices, data=data)
+    x.attrs = {"encoding-type": "csr_matrix"}
+    obs = Group(_index=np.array([b"c1", b"c2", b"c3", b"c4", b"c5"]))
+    file = {"X": x, "obs": obs}
+
+    class File:
+        def __init__(self, path, mode):
+            assert (path, mode) == ("some.h5ad", "r")
+
+        def __enter__(self):
+            return file
+
+        def __exit__(self, *_):
+            pass
+
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=File))
+    reader = h5ad._Reader("some.h5ad", 4)
+    parts = reader.partitions()
+    assert len(parts) > 1 and (parts[0].start, parts[-1].stop) == (0, 5)
+    rows = [r for p in parts for batch in reader.read(p) for r in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+    assert rows == [(c, int(indices[i]), float(data[i])) for c in range(5) for i in range(indptr[c], indptr[c + 1])]
+    assert h5ad._labels("some.h5ad", "obs") == ["c1", "c2", "c3", "c4", "c5"]
+    x.attrs = {"encoding-type": "csc_matrix"}
+    with pytest.raises(ValueError, match="CSR"):
+        reader.partitions()
+
+
+def test_flow_keeps_its_stages(spark, sf_dir, tmp_path):
+    m = fixtures.customer_parts_planted(spark, sf_dir)
+    plain = table(dropout.dropout_test(m), "gene_id", "z", "q_value")
+    out = flow.run(spark, m, str(tmp_path))
+    got = table(out["dropout_test"], "gene_id", "z", "q_value")
+    assert got.keys() == plain.keys() and all(got[g] == pytest.approx(plain[g]) for g in got)
+    assert out["high_variance"].columns[:1] == ["gene"] and out["volcano_labels"].count() == 10
+    text = spark.read.option("header", True).csv(f"{tmp_path}/dropout.csv")
+    assert {"Gene", "p.value", "q.value"} <= set(text.columns) and text.count() == out["dropout"].count() > 0
+    # a finished stage is taken as it is, a missing one is made
+    spark.createDataFrame([(1,)], "gene_id long").write.mode("overwrite").parquet(f"{tmp_path}/mask")
+    assert flow.run(spark, m, str(tmp_path))["mask"].count() == 1
+    assert not finished(spark, f"{tmp_path}/nothing")
+
+
+def test_a_fitted_matrix_reads_its_entries_once(spark, sf_dir):
+    m = fitted(fixtures.customer_parts_planted(spark, sf_dir), write_counts=True)
+    for result in (dropout.dropout_test(m), dropout.compare_models(m), residuals.residual_moments(m)):
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan
+    plain = table(dropout.dropout_z(fixtures.customer_parts_planted(spark, sf_dir)), "gene_id", "z")
+    got = table(dropout.dropout_z(m), "gene_id", "z")
+    assert all(got[g] == pytest.approx(plain[g]) for g in plain)
+
+
+def test_normalized_and_labels(spark):
+    m = matrix(spark, [(0, 0, 3.0), (0, 1, 1.0), (1, 1, 0.0)], [0, 1, 2])
+    assert sorted((r["cell_id"], r["gene_id"], r["value"]) for r in depth.normalized(m, 100.0).collect()) == [(0, 0, 75.0), (0, 1, 25.0), (1, 1, 0.0)]
+    named = CountMatrix(m.counts, m.cells, spark.createDataFrame([(0, "a")], "gene_id long, gene string"))
+    assert [tuple(r) for r in named.labelled(depth.gene_stats(m)).orderBy("gene_id").collect()] == [("a", 0, 3.0, 2), (None, 1, 1.0, 1)]
+    assert m.labelled(depth.cell_stats(m)).columns == ["cell_id", "ti", "di"]
