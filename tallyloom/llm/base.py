@@ -2,50 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the setting is unset and the session runs on a single machine (as in
-    tests) a folder of this process is made, once for each application; on a cluster
-    there is no folder that all could see, so that is an error.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-    return _own_folders[app]
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_folder(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back.
-
-    This cuts the lineage at a copy that survives lost executors.
-    """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tallyloom.sources.work import shared_folder, shared_path  # noqa: F401  the operators take them from here
+from tallyloom.sources.work import written as saved  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +21,7 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def sliced(batches, rows: int = 512):
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices, so that a worker never has Python objects for all texts of a batch."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
