@@ -26,6 +26,8 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        # what a batch took goes back: workers live on, and an executor has several
+        pa.default_memory_pool().release_unused()
 
 
 def quoted(name: str) -> str:

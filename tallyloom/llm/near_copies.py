@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.base import same, saved, sliced
 from tallyloom.llm.cells import divided, large_cells
 from tallyloom.llm.components import components
-from tallyloom.llm.simhash import CELL_ROWS, CHUNK, SEED, SHINGLE, fingerprints_of, near_links, sampled_masks, shingle_hashes
+from tallyloom.llm.simhash import CELL_ROWS, CHUNK, PAIRS_AT_ONCE, SEED, SHINGLE, fingerprints_of, near_links, sampled_masks, shingle_hashes
 
 #: Words of a shingle, least similarity, most differing bits of a candidate pair.
 NEAR_WORDS, SIMILARITY, CANDIDATE_BITS = 5, 0.8, 12
@@ -224,7 +224,7 @@ def _prefix_links(cell: np.ndarray, node: np.ndarray, root: np.ndarray, size: np
     budget = np.cumsum(width)
     done, found, waiting = 0, [], 0
     while done < len(cell):
-        stop = max(done + 1, int(np.searchsorted(budget, (budget[done - 1] if done else 0) + 2_000_000, side="right")))
+        stop = max(done + 1, int(np.searchsorted(budget, (budget[done - 1] if done else 0) + PAIRS_AT_ONCE, side="right")))
         w = width[done:stop]
         a = np.repeat(np.arange(done, stop), w)
         b = a + 1 + (np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w))
@@ -238,7 +238,7 @@ def _prefix_links(cell: np.ndarray, node: np.ndarray, root: np.ndarray, size: np
         a, b = node[a[fits]], node[b[fits]]
         found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], 1))
         waiting += len(a)
-        if waiting > 1_000_000:
+        if waiting > PAIRS_AT_ONCE:
             yield np.unique(np.concatenate(found), axis=0)
             found, waiting = [], 0
         done = stop

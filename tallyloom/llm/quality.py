@@ -28,7 +28,7 @@ scored alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,25 +101,28 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.log(counts[1] / counts[0])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: list[np.ndarray], vector: Callable[[int], np.ndarray], labels: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
     """min |w|^2/2 + cost * sum_i max(0, 1 - y_i (w . x_i + b)): one dual variable after another.
 
-    The offset is the weight of a feature that is always 1.
+    rows: the places of each x_i; vector(i): its values there, made when they are needed,
+    as all at once would be several times the sample. The offset is the weight of a
+    feature that is always 1.
     """
     y = np.where(labels == 1, 1.0, -1.0)
     weights, offset = np.zeros(1 << BITS), 0.0
     alpha = np.zeros(len(rows))
-    length = np.array([float(v @ v) + 1.0 for v in values])
+    length = np.array([float(v @ v) + 1.0 for v in map(vector, range(len(rows)))])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         changed = 0.0
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (float(weights[rows[i]] @ values[i]) + offset) - 1.0
+            values = vector(i)
+            gradient = y[i] * (float(weights[rows[i]] @ values) + offset) - 1.0
             new = min(max(alpha[i] - gradient / length[i], 0.0), cost)
             step = (new - alpha[i]) * y[i]
             if step:
                 alpha[i] = new
-                weights[rows[i]] += step * values[i]
+                weights[rows[i]] += step * values
                 offset += step
                 changed = max(changed, abs(step))
         if changed < 1e-3:
@@ -153,12 +156,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     def one(train: np.ndarray) -> Model:
         mine = [rows[i] for i in train]
         ratio = log_count_ratios(mine, labels[train])
-        values = []
-        for at in mine:
-            x = ratio[at]
-            norm = float(np.sqrt((x * x).sum()))
-            values.append(x / norm if norm else x)
-        weights, offset = dual_coordinate_descent(mine, values, labels[train])
+        norms = [float(np.sqrt((ratio[at] ** 2).sum())) or 1.0 for at in mine]
+        weights, offset = dual_coordinate_descent(mine, lambda i: ratio[mine[i]] / norms[i], labels[train])
         return Model(ratio, weights, offset, 1.0, 0.0)
 
     seen, unseen = np.flatnonzero(fold != 0), np.flatnonzero(fold == 0)
@@ -182,15 +181,18 @@ def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, tuple[int, np.ndarray]] = {}
+    lists = batch = None
     for batch in batches:
         lists = batch.column("places")
         for i, (d, y) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), strict=True)):
             if d not in held:
-                held[d] = (y, lists[i].values.to_numpy().copy())
+                held[d] = (y, lists[i].values.to_numpy())
     # neighbours in doc_id go to different folds whatever their label
     found = [held[d] for d in sorted(held)]
     model = fit([r[1] for r in found], np.array([r[0] for r in found], np.int64))
     yield pa.RecordBatch.from_arrays([pa.array([model.ratio.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), *[pa.array([x]) for x in (model.offset, model.slope, model.shift)], pa.array([len(found)])], ["ratio", "weights", "offset", "slope", "shift", "rows"])
+    del held, found, lists, batch
+    pa.default_memory_pool().release_unused()
 
 
 def held_out(doc_id) -> F.Column:

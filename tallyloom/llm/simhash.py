@@ -54,6 +54,8 @@ KEY_BITS, RECALL = 10, 0.95
 CHUNK = 1 << 15
 #: A cell with more rows is cut into parts of at most half as many.
 CELL_ROWS = 20_000
+#: Pairs that a task looks at at once.
+PAIRS_AT_ONCE = 500_000
 
 
 def shingle_hashes(text: bytes | None, words: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -223,8 +225,8 @@ def _links(
     width = ends - np.arange(n) - 1
     budget = np.cumsum(width)
     while at < n:
-        # so many rows that about two million pairs are looked at at once
-        stop = max(at + 1, int(np.searchsorted(budget, (budget[at - 1] if at else 0) + 2_000_000, side="right")))
+        # so many rows that about PAIRS_AT_ONCE pairs are looked at at once
+        stop = max(at + 1, int(np.searchsorted(budget, (budget[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
         w = width[at:stop]
         a = np.repeat(np.arange(at, stop), w)
         b = a + 1 + (np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w))

@@ -753,7 +753,7 @@ def test_quality_against_a_plain_version(spark):
 
     # the dual solution: its weights are a sum of the rows' vectors, and the slack of each row fits its variable
     values = [ratio[plain_places(text[d])] / np.linalg.norm(ratio[plain_places(text[d])]) for d, _ in learnt]
-    weights, offset = quality.dual_coordinate_descent([np.array(plain_places(text[d])) for d, _ in learnt], values, np.array([y for _, y in learnt]), epochs=500)
+    weights, offset = quality.dual_coordinate_descent([np.array(plain_places(text[d])) for d, _ in learnt], values.__getitem__, np.array([y for _, y in learnt]), epochs=500)
     primal = 0.5 * (weights @ weights + offset**2) + quality.COST * sum(max(0.0, 1 - (1 if y else -1) * (weights[plain_places(text[d])] @ v + offset)) for (d, y), v in zip(learnt, values))
     mine = 0.5 * (model.weights @ model.weights + model.offset**2) + quality.COST * sum(max(0.0, 1 - (1 if y else -1) * margin(d)) for d, y in learnt)
     assert mine <= 1.02 * primal + 1e-6
