@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.base import quoted, saved
+from tallyloom.llm.base import quoted, saved, tidy
 
 K = 10
 SAMPLE, BRANCHES, LEAF_SAMPLE, ROUNDS, SEED = 20_000, 12, 48, 8, 11
@@ -390,7 +390,7 @@ def _down(rows: DataFrame, subtrees: DataFrame, dim: int, scale: float, most: in
     trees = subtrees.select("leaf", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("vector"), F.lit(None).cast("array<int>").alias("ranks"), "tree")
     own = rows.select("leaf", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "vec_id", "vector", "ranks", F.lit(None).cast("binary").alias("tree"))
     met = trees.unionByName(own).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "kind")
-    return met.mapInArrow(_sub_batches(dim, scale, most), _PLACED)
+    return met.mapInArrow(tidy(_sub_batches(dim, scale, most)), _PLACED)
 
 
 def _drawn(n: int | F.Column, sample: int) -> F.Column:
@@ -423,7 +423,7 @@ def build(vectors: DataFrame, k: int = K, sample: int = SAMPLE, calibration: int
     tree = Tree.fit(fitted, max(LEAF_SAMPLE, int(len(fitted) * part / 2 / n)))
 
     shared = spark.sparkContext.broadcast(tree)
-    placed = saved(rows.mapInArrow(_first_batches(shared, dim, scale, None), _PLACED), "ann-leaves")
+    placed = saved(rows.mapInArrow(tidy(_first_batches(shared, dim, scale, None)), _PLACED), "ann-leaves")
     subtrees: list[DataFrame] = []
     for _ in range(LEVELS - 1):
         large = placed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > split)
@@ -431,7 +431,7 @@ def build(vectors: DataFrame, k: int = K, sample: int = SAMPLE, calibration: int
         if not large.count():
             break
         few = placed.join(large, "leaf").filter(_drawn(F.col("n"), sample)).select("leaf", "vector")
-        trees = few.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_fit_batches(dim, scale, LEAF_SAMPLE), "leaf long, tree binary")
+        trees = few.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(tidy(_fit_batches(dim, scale, LEAF_SAMPLE)), "leaf long, tree binary")
         trees = saved(trees, "ann-subtrees")
         below = saved(_down(placed, trees, dim, scale, None, salts=8), "ann-leaves")
         apart = below.select("leaf").distinct().count() > placed.select("leaf").distinct().count()
@@ -443,7 +443,7 @@ def build(vectors: DataFrame, k: int = K, sample: int = SAMPLE, calibration: int
     counts = placed.groupBy("leaf").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
     counts = saved(counts, "ann-counts")
     own = placed.join(counts, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), "vec_id", "vector")
-    packs = own.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(_pack_batches(dim, scale, FINE), "leaf long, part int, pack binary")
+    packs = own.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(tidy(_pack_batches(dim, scale, FINE)), "leaf long, part int, pack binary")
     everywhere = [1 << LEAF_BITS] * (len(subtrees) + 2)
     index = Index(rows, tree, subtrees, saved(packs, "ann-parts"), counts, everywhere, 1.0, dim, scale)
 
@@ -468,14 +468,14 @@ def _ranked(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score, ranks (the places at which the search came to the row)."""
     q = queries.filter(F.size("vector") == index.dim).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     tree = queries.sparkSession.sparkContext.broadcast(index.tree)
-    asked = q.mapInArrow(_first_batches(tree, index.dim, index.scale, index.visits[0]), _PLACED)
+    asked = q.mapInArrow(tidy(_first_batches(tree, index.dim, index.scale, index.visits[0])), _PLACED)
     for subtrees, most in zip(index.subtrees, index.visits[1:-1], strict=True):
         asked = _down(asked, subtrees, index.dim, index.scale, most)
     asked = asked.join(index.counts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "vec_id", "vector", "ranks", F.lit(None).cast("binary").alias("pack"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("vec_id", "long"), ("vector", "array<double>"), ("ranks", "array<int>"))]
     packs = index.parts.select("leaf", "part", F.lit(0).alias("kind"), *none, "pack")
     both = packs.unionByName(asked).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind")
-    found = both.mapInArrow(_answer(k, index.dim, index.visits[-1]), "query_id long, vec_id long, score double, ranks array<int>")
+    found = both.mapInArrow(tidy(_answer(k, index.dim, index.visits[-1])), "query_id long, vec_id long, score double, ranks array<int>")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.base import saved, sliced
+from tallyloom.llm.base import saved, sliced, tidy
 
 SHARD_KEYS = 50_000
 FLUSH_KEYS = 50_000
@@ -140,7 +140,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest: SHA-256 of the whole normalised text (bytes.lower() touches A-Z only)."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_digest_batches, "doc_id long, digest binary")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(tidy(_digest_batches), "doc_id long, digest binary")
 
 
 def _combine(shards: int):
@@ -214,14 +214,14 @@ def update_index(new: DataFrame, shards: int, stored: DataFrame | None = None, g
     stored: the index before, whatever its number of shards: every digest is dealt anew.
     Returns shard, digest, keep_id, group_size: the live digests.
     """
-    changes = new.mapInArrow(_combine(shards), "shard long, kind int, digest binary, doc_id long, rows long")
+    changes = new.mapInArrow(tidy(_combine(shards)), "shard long, kind int, digest binary, doc_id long, rows long")
     if stored is not None:
-        dealt = stored.select("digest", "keep_id", "group_size").mapInArrow(_dealt(shards), "shard long, digest binary, keep_id long, group_size long")
+        dealt = stored.select("digest", "keep_id", "group_size").mapInArrow(tidy(_dealt(shards)), "shard long, digest binary, keep_id long, group_size long")
         changes = changes.unionByName(dealt.select("shard", F.lit(STORED).alias("kind"), "digest", F.col("keep_id").alias("doc_id"), F.col("group_size").alias("rows")))
     if gone is not None:
-        shard = gone.select("digest").mapInArrow(_dealt(shards), "shard long, digest binary")
+        shard = gone.select("digest").mapInArrow(tidy(_dealt(shards)), "shard long, digest binary")
         changes = changes.unionByName(shard.select("shard", F.lit(RETIRE).alias("kind"), "digest", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("rows")))
-    return changes.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_replay, "shard long, digest binary, keep_id long, group_size long")
+    return changes.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(tidy(_replay), "shard long, digest binary, keep_id long, group_size long")
 
 
 def _dealt(shards: int):

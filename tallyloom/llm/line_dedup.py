@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallyloom.llm.base import same, saved, sliced
+from tallyloom.llm.base import same, saved, sliced, tidy
 from tallyloom.llm.mph import PerfectHash
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -172,13 +172,13 @@ class Shard:
 
 def counted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1, h2, docs, keeper of every distinct key; docs: doc_id, text."""
-    counted = docs.select("doc_id", "text").mapInArrow(_count(min_chars), "h1 long, h2 long, docs long, keeper long")
+    counted = docs.select("doc_id", "text").mapInArrow(tidy(_count(min_chars)), "h1 long, h2 long, docs long, keeper long")
     return counted.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
 
 
 def build_index(lines: DataFrame, shards: int) -> DataFrame:
     """One row of arrays for each shard that has keys."""
-    return lines.mapInArrow(_with_shard(shards), "shard long, h1 long, h2 long, docs long, keeper long").repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, INDEX)
+    return lines.mapInArrow(tidy(_with_shard(shards)), "shard long, h1 long, h2 long, docs long, keeper long").repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(_build), INDEX)
 
 
 PROBE = "shard long, salt int, kind int, doc_id long, row long, h1 long, h2 long"
@@ -273,9 +273,9 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         salts = F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for kv in copies.items() for x in kv]), F.col("shard").cast("int")), F.lit(1))
     nothing = [F.lit(None).cast("long").alias("doc_id"), *[F.lit(0).cast("long").alias(c) for c in ("row", "h1", "h2")]]
     arrays = index.select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), *nothing, *_ARRAYS)
-    probes = docs.mapInArrow(_probes(min_chars, shards, copies), PROBE).select("*", *[F.lit(None).cast("binary").alias(c) for c in _ARRAYS])
+    probes = docs.mapInArrow(tidy(_probes(min_chars, shards, copies)), PROBE).select("*", *[F.lit(None).cast("binary").alias(c) for c in _ARRAYS])
     both = arrays.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    return both.mapInArrow(_answer(min_docs), "doc_id long, row long, h1 long")
+    return both.mapInArrow(tidy(_answer(min_docs)), "doc_id long, row long, h1 long")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -285,4 +285,4 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     joined = docs.join(drops, same(docs["doc_id"], F.col("_id")) & (row_key() == F.col("_row")), "left").drop("_id", "_row")
     others = [f for f in joined.schema.fields if f.name not in ("text", "_drops")]
     schema = StructType([*others, StructField("text", StringType()), StructField("_lines", LongType()), StructField("_dropped", LongType())])
-    return joined.select(*[f.name for f in others], F.col("text").cast("string"), "_drops").mapInArrow(_strip(min_chars), schema)
+    return joined.select(*[f.name for f in others], F.col("text").cast("string"), "_drops").mapInArrow(tidy(_strip(min_chars)), schema)

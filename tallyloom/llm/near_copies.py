@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.base import same, saved, sliced
+from tallyloom.llm.base import same, saved, sliced, tidy
 from tallyloom.llm.cells import divided, large_cells
 from tallyloom.llm.components import components
 from tallyloom.llm.simhash import CELL_ROWS, CHUNK, PAIRS_AT_ONCE, SEED, SHINGLE, fingerprints_of, near_links, sampled_masks, shingle_hashes
@@ -181,7 +181,7 @@ def texts_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     names = own.select(F.col("first_id").alias("_id")).distinct()
     names = F.broadcast(names) if own.count() <= FEW_TEXTS else names
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    found = texts.join(names, same(F.col("doc_id"), F.col("_id")), "left_semi").select("text").mapInArrow(_named_texts, "high long, low long, text string")
+    found = texts.join(names, same(F.col("doc_id"), F.col("_id")), "left_semi").select("text").mapInArrow(tidy(_named_texts), "high long, low long, text string")
     # other texts under the same doc_id fall away here
     found = found.join(own.select("node", "high", "low"), ["high", "low"]).select("node", "text")
     return found.dropDuplicates(["node"])
@@ -327,7 +327,7 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def shared_entries(lists: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """key, high, holders of the entries that several texts (high) have in their lists, without repeats. lists: high, list; it is read twice."""
-    once = lists.select("high", "list").mapInArrow(_once, "high long, list array<long>")
+    once = lists.select("high", "list").mapInArrow(tidy(_once), "high long, list array<long>")
     cells = once.select("high", F.explode("list").alias("key"))
     large = large_cells(cells, ["key"], cell_rows)
     if large is None:
@@ -335,7 +335,7 @@ def shared_entries(lists: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     else:
         cells = cells.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
         cells = cells.repartition("key", F.when(F.col("parts") > 0, F.pmod("high", "parts")))
-    return cells.select("key", "high", "parts").sortWithinPartitions("key", "high").mapInArrow(_shared_batches, "key long, high long, holders long")
+    return cells.select("key", "high", "parts").sortWithinPartitions("key", "high").mapInArrow(tidy(_shared_batches), "key long, high long, holders long")
 
 
 def _full_batches(words: int, seed: int):
@@ -370,7 +370,7 @@ def prefix_pairs(cells: DataFrame, maps: DataFrame, similarity: float = SIMILARI
     only neighbours.
     """
     met = cells.select("key", "w", "node", "root", "size", "at", "back", *_CELL_MAP).repartition("key", F.shiftright("w", 2)).sortWithinPartitions("key", F.shiftright("w", 2))
-    pairs = met.mapInArrow(_prefix_batches(similarity, chain), "a long, b long").distinct()
+    pairs = met.mapInArrow(tidy(_prefix_batches(similarity, chain)), "a long, b long").distinct()
     left = maps.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("map").alias("ma"))
     right = maps.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("map").alias("mb"))
     # sets differ in at least as many elements as their parities do
@@ -410,7 +410,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int,
     """The pairs (a, b) whose sets of shingles overlap in ``similarity`` or more. texts: node, text."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify_batches(similarity, words, seed), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(_verify_batches(similarity, words, seed)), "a long, b long")
 
 
 def near_copies(
@@ -422,7 +422,7 @@ def near_copies(
     """
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long"), text, text_key(text))
-    named = saved(texts.mapInArrow(_set_batches(words, similarity, print_words, seed), SETS), "near-texts")
+    named = saved(texts.mapInArrow(tidy(_set_batches(words, similarity, print_words, seed)), SETS), "near-texts")
     # one node for each sequence of words
     own = [F.first(c).alias(c) for c in ("print", "size", "need", *_CELL_MAP)]
     classes = named.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), *own).withColumn("node", F.monotonically_increasing_id())
@@ -446,7 +446,7 @@ def near_copies(
     first = saved(candidates(met.select("print")), "simhash-pairs")
     ends = saved(texts_of(_both_ends(first), docs, classes), "near-ends")
     linked = checked(first, ends)
-    sketches = ends.mapInArrow(_sketch_batches(words, seed), "node long, sketch array<long>")
+    sketches = ends.mapInArrow(tidy(_sketch_batches(words, seed)), "node long, sketch array<long>")
     apart = sketches.join(met, "node").join(rooted(linked).select("node", "root"), "node").select("print", "root", "sketch")
     second = saved(candidates(saved(apart, "simhash-apart")).join(first, ["a", "b"], "left_anti"), "simhash-pairs")
     linked = linked.unionByName(checked(second, ends))
@@ -454,7 +454,7 @@ def near_copies(
     live = shared_entries(named).groupBy("high").agg(F.count("*").alias("shared"))
     live = saved(classes.join(live, "high").filter(F.col("shared") >= F.col("need")).select("node", "high", "low", "first_id", "size", *_CELL_MAP), "near-live")
     texts = saved(texts_of(live.select("node"), docs, live), "near-ends")
-    entries = shared_entries(texts.mapInArrow(_full_batches(words, seed), "high long, list array<long>")).withColumnRenamed("high", "node")
+    entries = shared_entries(texts.mapInArrow(tidy(_full_batches(words, seed)), "high long, list array<long>")).withColumnRenamed("high", "node")
     cells = first_cells(entries, live.select("node", "size"), similarity).join(live.select("node", "size", *_CELL_MAP), "node")
     cells = saved(divided(saved(cells, "near-cells"), ["key"], "node", CELL_ROWS), "near-cells")
     held = cells.select("node").distinct().join(live.select("node", "high", "low", "size"), "node")

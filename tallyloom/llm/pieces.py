@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from tallyloom.llm.base import quoted
+from tallyloom.llm.base import quoted, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -338,7 +338,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     others = [f for f in docs.schema.fields if f.name != "text"]
     schema = StructType([*others, StructField("ids", ArrayType(IntegerType())), StructField("exact", BooleanType())])
-    return docs.select(*[F.col(quoted(f.name)) for f in others], F.col("text").cast("string")).mapInArrow(_encode_batches(shared), schema)
+    return docs.select(*[F.col(quoted(f.name)) for f in others], F.col("text").cast("string")).mapInArrow(tidy(_encode_batches(shared)), schema)
 
 
 def _decode_batches(shared):
@@ -357,4 +357,4 @@ def decode(coded: DataFrame, path: str = MODEL) -> DataFrame:
     shared = coded.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     others = [f for f in coded.schema.fields if f.name != "ids"]
     schema = StructType([*others, StructField("text", StringType())])
-    return coded.select(*[F.col(quoted(f.name)) for f in others], "ids").mapInArrow(_decode_batches(shared), schema)
+    return coded.select(*[F.col(quoted(f.name)) for f in others], "ids").mapInArrow(tidy(_decode_batches(shared)), schema)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyloom.llm.base import saved, sliced
+from tallyloom.llm.base import saved, sliced, tidy
 
 BITS, ORDERS = 18, (1, 2, 3)
 #: The n-grams of 2 to REPEATS + 1 equal words, whatever the word, have places of their own.
@@ -181,7 +181,6 @@ def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, tuple[int, np.ndarray]] = {}
-    lists = batch = None
     for batch in batches:
         lists = batch.column("places")
         for i, (d, y) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), strict=True)):
@@ -191,8 +190,6 @@ def _fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = [held[d] for d in sorted(held)]
     model = fit([r[1] for r in found], np.array([r[0] for r in found], np.int64))
     yield pa.RecordBatch.from_arrays([pa.array([model.ratio.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), *[pa.array([x]) for x in (model.offset, model.slope, model.shift)], pa.array([len(found)])], ["ratio", "weights", "offset", "slope", "shift", "rows"])
-    del held, found, lists, batch
-    pa.default_memory_pool().release_unused()
 
 
 def held_out(doc_id) -> F.Column:
@@ -213,8 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     one = texts.join(F.broadcast(own), "doc_id").groupBy("doc_id", "label").agg(F.min(digest).alias("digest"))
     one = saved(one, "quality-texts")
     rows = texts.join(F.broadcast(one), "doc_id").filter(digest == F.col("digest")).select(F.col("doc_id").cast("long"), "label", "text")
-    placed = saved(rows.mapInArrow(_place_batches, "doc_id long, label int, places array<int>"), "quality-places")
-    row = placed.coalesce(1).mapInArrow(_fit_all, "ratio binary, weights binary, offset double, slope double, shift double, rows long").first()
+    placed = saved(rows.mapInArrow(tidy(_place_batches), "doc_id long, label int, places array<int>"), "quality-places")
+    row = placed.coalesce(1).mapInArrow(tidy(_fit_all), "ratio binary, weights binary, offset double, slope double, shift double, rows long").first()
     if row is None:
         return fit([], np.zeros(0, np.int64))
     return Model(np.frombuffer(bytes(row["ratio"])), np.frombuffer(bytes(row["weights"])), row["offset"], row["slope"], row["shift"])
@@ -235,4 +232,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs: any columns but score, with text -> the same and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(_score_batches(shared), schema)
+    return docs.mapInArrow(tidy(_score_batches(shared)), schema)

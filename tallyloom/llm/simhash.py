@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.base import saved, sliced
+from tallyloom.llm.base import saved, sliced, tidy
 from tallyloom.llm.cells import PLACE_BITS, divided
 from tallyloom.llm.components import components
 
@@ -110,7 +110,7 @@ def _fingerprint_batches(words: int, seed: int):
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, print (the 64 bits as a long)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_batches(words, seed), "doc_id long, print long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_fingerprint_batches(words, seed)), "doc_id long, print long")
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -313,7 +313,7 @@ def near_links(
     t = F.shiftright("w", PLACE_BITS).cast("int")
     key = F.col("print").bitwiseAND(F.element_at(table, t + 1))
     met = moved.repartition(F.shiftright("w", 2), key).select("w", key.alias("key"), "print", *own).sortWithinPartitions(F.shiftright("w", 2), "key")
-    return met.mapInArrow(_link_batches(max_bits, refs, give), "a long, b long")
+    return met.mapInArrow(tidy(_link_batches(max_bits, refs, give)), "a long, b long")
 
 
 def _grouped(named: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:

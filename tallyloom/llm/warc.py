@@ -41,7 +41,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.base import same, saved, shared_path
+from tallyloom.llm.base import same, saved, shared_path, tidy
 from tallyloom.llm.zip_reader import BadArchive, data_offset, members
 
 REVISIT_BYTES = 1000
@@ -185,7 +185,7 @@ def _write(folder: str, archive_bytes: int, archive_records: int):
 def write_archives(plan: DataFrame, archive_bytes: int = ARCHIVE_BYTES, archive_records: int = ARCHIVE_RECORDS) -> DataFrame:
     """path, bytes, records of each archive: a written table."""
     folder = shared_path(plan.sparkSession, "archives")
-    return saved(plan.mapInArrow(_write(folder, archive_bytes, archive_records), "path string, bytes long, records long"), "manifest")
+    return saved(plan.mapInArrow(tidy(_write(folder, archive_bytes, archive_records)), "path string, bytes long, records long"), "manifest")
 
 
 def _range_reader(handle):
@@ -260,5 +260,5 @@ def read_archives(manifest: DataFrame, payload: bool = True, run_bytes: int = RU
     """
     archives, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     tasks = min(MOST_TASKS, 1 + size // run_bytes)
-    runs = manifest.select("path", "bytes").repartition(max(1, min(archives, tasks)), "path").mapInArrow(_runs(run_bytes), "path string, start long, lengths array<long>")
-    return runs.repartition(tasks, "path", "start").mapInArrow(_read(payload), PAGE + (", payload binary" if payload else ""))
+    runs = manifest.select("path", "bytes").repartition(max(1, min(archives, tasks)), "path").mapInArrow(tidy(_runs(run_bytes)), "path string, start long, lengths array<long>")
+    return runs.repartition(tasks, "path", "start").mapInArrow(tidy(_read(payload)), PAGE + (", payload binary" if payload else ""))
