@@ -30,10 +30,16 @@ def given_back() -> None:
         trim(0)
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What a task runs over its batches, with its memory given back at the end."""
+#: What a worker keeps between tasks of one kind.
+KEPT: dict = {}
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task runs over its batches, with its memory given back at the end; only tasks that say so leave ``KEPT`` as it is."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            KEPT.clear()
         yield from run(batches)
         given_back()
 

@@ -40,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from tallyloom.llm.base import quoted, tidy
+from tallyloom.llm.base import KEPT, quoted, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: What the unigram kind of the library subtracts from the least score for an unknown character.
 UNKNOWN_PENALTY = 10.0
 CACHED_UNITS, CACHED_LENGTH = 150_000, 48
+#: Bytes whose next states are kept together; a row has 256 / STRETCH = 8 of them.
+STRETCH = 32
 #: Texts are encoded together up to so many bytes.
 TOGETHER = 1_500_000
 _LITERAL = b"\xff"  # stands for a word mark of the text; no piece holds this byte
@@ -79,7 +81,7 @@ class Vocabulary:
 
 
 class Automaton:
-    """goto: next state for state and byte; first: the longest piece that ends in a state;
+    """block, blocks: next state for state and byte (see ``after``); first: the longest piece that ends in a state;
     then: the state with the next shorter one (the output link)."""
 
     def __init__(self, vocabulary: Vocabulary):
@@ -101,16 +103,16 @@ class Automaton:
         for state, i in ends.items():
             self.first[state] = i
         own = self.first.copy()
-        self.goto = np.zeros((n, 256), np.int32)
+        goto = np.zeros((n, 256), np.int32)
         self.then = np.zeros(n, np.int32)  # 0: no more
         fail = np.zeros(n, np.int32)
         level = [0]
         while level:
             below = []
             for state in level:
-                row = self.goto[state]
+                row = goto[state]
                 if state:
-                    row[:] = self.goto[fail[state]]
+                    row[:] = goto[fail[state]]
                 for byte, child in children[state].items():
                     fail[child] = row[byte] if state else 0
                     row[byte] = child
@@ -118,6 +120,10 @@ class Automaton:
                     self.then[child] = back if own[back] >= 0 else self.then[back]
                     below.append(child)
             level = below
+        # most stretches of a row are those of other states: each different one is kept once
+        rows = goto.reshape(-1, STRETCH)
+        _, at, which = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * STRETCH))).ravel(), return_index=True, return_inverse=True)
+        self.blocks, self.block = rows[at].ravel(), (which * STRETCH).astype(np.int32)
         # a state without a piece of its own starts at its output link
         none = np.flatnonzero((own < 0) & (self.then > 0))
         self.first[none] = own[self.then[none]]
@@ -128,6 +134,9 @@ class Automaton:
         self.score = np.array(vocabulary.scores, np.float64)
         self.unknown = min(vocabulary.scores[i] for i in vocabulary.normal) - UNKNOWN_PENALTY
 
+    def after(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        return self.blocks[self.block[state.astype(np.int32) * 8 + (byte >> 5)] + (byte & 31)]
+
 
 class Encoder:
     #: A step with fewer units goes byte by byte through plain numbers, as long units are few of a length.
@@ -193,7 +202,7 @@ class Encoder:
             byte = text[:, t]
             begins = (byte & 0xC0) != 0x80
             head = np.where(begins, t, head)
-            state = auto.goto[state, byte]
+            state = auto.after(state, byte)
             link, out = state, auto.first[state]
             live = rows[out >= 0]
             alone = np.zeros(n, bool)
@@ -243,7 +252,7 @@ class Encoder:
     def _viterbi_one(self, word: bytes) -> bytes:
         """The same for one unit: a link's piece relaxes the score of the position where it ends."""
         auto = self.auto
-        goto, first, then, length, scores = (memoryview(x) for x in (auto.goto, auto.first, auto.then, auto.length, auto.score))
+        block, blocks, first, then, length, scores = (memoryview(x) for x in (auto.block, auto.blocks, auto.first, auto.then, auto.length, auto.score))
         unknown, size, lowest = auto.unknown, len(word), float("-inf")
         best = array("d", [0.0]) + array("d", [lowest]) * size
         piece, start = array("i", [-1]) * (size + 1), array("i", [0]) * (size + 1)
@@ -251,7 +260,7 @@ class Encoder:
         for t, byte in enumerate(word, 1):
             if byte & 0xC0 != 0x80:
                 head = t - 1
-            state = goto[state, byte]
+            state = blocks[block[state * 8 + (byte >> 5)] + (byte & 31)]
             link, own, top, alone = state, first[state], lowest, False
             if own >= 0:
                 while True:
@@ -291,16 +300,13 @@ def _moved(values: np.ndarray, live: np.ndarray, table: np.ndarray | None, to: n
     return values
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _encoder(vocabulary: Vocabulary) -> Encoder:
-    """One automaton for each worker process, kept between tasks."""
+    """One automaton for each worker process, kept between tasks of this kind."""
     key = hash((len(vocabulary.pieces), tuple(vocabulary.scores[:2000]), tuple(vocabulary.pieces[:2000])))
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(vocabulary)
-    return _encoders[key]
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = Encoder(vocabulary)
+    return KEPT[key]
 
 
 def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -338,7 +344,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     others = [f for f in docs.schema.fields if f.name != "text"]
     schema = StructType([*others, StructField("ids", ArrayType(IntegerType())), StructField("exact", BooleanType())])
-    return docs.select(*[F.col(quoted(f.name)) for f in others], F.col("text").cast("string")).mapInArrow(tidy(_encode_batches(shared)), schema)
+    return docs.select(*[F.col(quoted(f.name)) for f in others], F.col("text").cast("string")).mapInArrow(tidy(_encode_batches(shared), keeps=True), schema)
 
 
 def _decode_batches(shared):
@@ -357,4 +363,4 @@ def decode(coded: DataFrame, path: str = MODEL) -> DataFrame:
     shared = coded.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     others = [f for f in coded.schema.fields if f.name != "ids"]
     schema = StructType([*others, StructField("text", StringType())])
-    return coded.select(*[F.col(quoted(f.name)) for f in others], "ids").mapInArrow(tidy(_decode_batches(shared)), schema)
+    return coded.select(*[F.col(quoted(f.name)) for f in others], "ids").mapInArrow(tidy(_decode_batches(shared), keeps=True), schema)
