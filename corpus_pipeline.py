@@ -17,8 +17,17 @@ from tallyloom.llm.base import packed, rest_of, same, saved, table, unpacked
 KEY = ("doc_id", "text")
 
 
+#: Bytes of texts that a task hands to its worker at once; both hold them several times over.
+BATCH_BYTES = 8 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives a quality score under its threshold go."""
+    _small_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs, labels)
     scored = quality.score(packed(docs, *KEY), model)
@@ -27,6 +36,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 characters and more in three documents and more stay in the last of them only."""
+    _small_batches(spark)
     kept = line_dedup.line_dedup(packed(docs, *KEY))
     n_chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return unpacked(kept, docs, *KEY, **n_chars)
@@ -39,6 +49,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays. Documents that share a doc_id, or have none, but are no copies all stay;
     a document without a doc_id stays only in a group without any.
     """
+    _small_batches(spark)
     found = near.near_copies(docs.select("doc_id", "text"))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))).alias("first")
     stay = found.groupBy("root").agg(first).select("first._id", "first._key")
@@ -64,6 +75,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids, n_pieces and exact take the place of the text; where documents have a column
     of such a name, the stage's gets an underscore at its end.
     """
+    _small_batches(spark)
     coded = pieces.encode(packed(docs, *KEY))
     own = {"ids": F.col("ids"), "n_pieces": F.size("ids").cast("long"), "exact": F.col("exact")}
     return coded.select("doc_id", *rest_of(docs, *KEY), *[c.alias(_free(name, docs.columns)) for name, c in own.items()])
