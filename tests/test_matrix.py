@@ -1,6 +1,7 @@
 """Rules of the matrix on small matrices by hand, and operators against plain loops."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -396,3 +397,17 @@ def test_normalized_and_labels(spark):
     named = CountMatrix(m.counts, m.cells, spark.createDataFrame([(0, "a")], "gene_id long, gene string"))
     assert [tuple(r) for r in named.labelled(depth.gene_stats(m)).orderBy("gene_id").collect()] == [("a", 0, 3.0, 2), (None, 1, 1.0, 1)]
     assert m.labelled(depth.cell_stats(m)).columns == ["cell_id", "ti", "di"]
+
+
+def test_hommel_of_many_tests_takes_no_quadratic_time():
+    rng = np.random.default_rng(5)
+    p = np.sort(rng.uniform(size=300_000) ** 3)
+    began = time.time()
+    q = corrections.hommel(p)
+    assert time.time() - began < 20 and (np.diff(q) >= 0).all() and (q >= p).all()
+    small = np.sort(np.round(rng.uniform(size=400) ** 2, 2))
+    want = small.copy()
+    for m in range(2, 401):
+        bound = (m * small[400 - m :] / np.arange(1, m + 1)).min()
+        want = np.maximum(want, np.where(np.arange(400) >= 400 - m, bound, np.minimum(bound, m * small)))
+    assert corrections.hommel(small) == pytest.approx(np.minimum(want, 1.0), rel=1e-12)
