@@ -399,6 +399,63 @@ def test_normalized_and_labels(spark):
     assert m.labelled(depth.cell_stats(m)).columns == ["cell_id", "ti", "di"]
 
 
+def shuffled_bytes(spark, df):
+    spent = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = spent()
+    got = df.collect()
+    time.sleep(1)
+    return got, spent() - before
+
+
+def wide_matrix(spark, cells, genes):
+    """Few entries for many pairs, an empty cell, and genes that share their totals."""
+    rng = np.random.default_rng(11)
+    entries = sorted({(int(c), int(g)) for c, g in zip(rng.integers(1, cells, 900), rng.integers(0, genes, 900), strict=True)} | {(1, g) for g in range(genes)})
+    return fitted(matrix(spark, [(c, g, float(1 + (c * g) % 7)) for c, g in entries], range(cells)))
+
+
+@pytest.mark.parametrize(("cells", "genes"), [(400, 250), (250, 400)])
+def test_pairs_are_not_shuffled(spark, cells, genes):
+    m = wide_matrix(spark, cells, genes)
+    x = {(r["cell_id"], r["gene_id"]): r["x"] for r in m.counts.collect()}
+    pairs = cells * genes
+    got, moved = shuffled_bytes(spark, residuals.pearson_residuals(m))
+    assert {(r["cell_id"], r["gene_id"]): r["x"] for r in got} == {(c, g): x.get((c, g), 0.0) for c in range(cells) for g in range(genes)}
+    assert len(got) == pairs and moved < 2 * pairs
+    for value in ("x", "approx", "full"):
+        rows = {}
+        for r in got:
+            rows.setdefault(r["cell_id"], {})[r["gene_id"]] = r[value]
+        dense, moved = shuffled_bytes(spark, residuals.dense_residuals(m, value))
+        assert {r["cell_id"]: list(r["values"]) for r in dense} == {c: [v[g] for g in sorted(v)] for c, v in rows.items()}
+        assert moved < 2 * pairs
+
+
+@pytest.mark.parametrize("value", ["approx", "full"])
+def test_histogram_without_the_pairs(spark, value):
+    m = wide_matrix(spark, 400, 250)
+    plain = table(residuals.residual_histogram(residuals.pearson_residuals(m), value), "bin", "left", "density")
+    got, moved = shuffled_bytes(spark, residuals.histogram(m, value))
+    assert {r["bin"]: (r["left"], r["density"]) for r in got} == plain
+    assert value == "full" or moved < 400 * 250
+
+
+@pytest.mark.parametrize("rate", [0.02, 1.0])
+def test_pairs_are_drawn_by_their_ids(spark, rate):
+    m = wide_matrix(spark, 250, 400)
+    want = sorted(map(tuple, residuals.residual_sample(residuals.pearson_residuals(m), rate, 7).collect()))
+    got, moved = shuffled_bytes(spark, residuals.drawn_residuals(m, rate, 7))
+    assert sorted(map(tuple, got)) == want and len(want) == pytest.approx(rate * 100_000, rel=0.1)
+    assert rate == 1.0 or moved < 250 * 400
+    assert residuals.drawn_residuals(m, 1e-17, 7).count() == 0
+
+
+def test_rounding_of_all_pairs(spark):
+    values = [0.0, -0.0, 1.0000005, -1.0000005, 2.5, -0.1234564, 0.1234567, -3e-7, 1e300, -7e8, float("nan"), float("inf"), None]
+    t = spark.createDataFrame([(v,) for v in values], "v double").select("v", queries.r("a", of=F.col("v")), queries.rounded("b", F.col("v")))
+    assert all(repr(row["a"]) == repr(row["b"]) for row in t.collect())
+
+
 def test_hommel_of_many_tests_takes_no_quadratic_time():
     rng = np.random.default_rng(5)
     p = np.sort(rng.uniform(size=300_000) ** 3)
