@@ -468,3 +468,19 @@ def test_hommel_of_many_tests_takes_no_quadratic_time():
         bound = (m * small[400 - m :] / np.arange(1, m + 1)).min()
         want = np.maximum(want, np.where(np.arange(400) >= 400 - m, bound, np.minimum(bound, m * small)))
     assert corrections.hommel(small) == pytest.approx(np.minimum(want, 1.0), rel=1e-12)
+
+
+def test_expected_dropout_meets_kinds_of_genes(spark):
+    """Genes of equal totals meet the cells' totals once; the sums are those over all pairs."""
+    m = wide_matrix(spark, 60, 90)
+    fit = dispersion.fit_dispersion(m)
+    cells, genes = depth.cell_stats(m), dispersion.smoothed(fit, dispersion.fit_trend(fit), 0.0)
+    for few in (True, False):
+        pairs = dropout._pairs(cells, genes.select("gene_id", "tj", "exp_size"), few)
+        assert pairs.count() == genes.select("tj").distinct().count() * cells.select("ti").distinct().count() < 0.9 * 90 * cells.select("ti").distinct().count()
+    ti, every = table(cells, "cell_id", "ti"), table(genes, "gene_id", "tj", "exp_size")
+    total = sum(ti.values())
+    p = {(c, g): (tj * t / total / es + 1.0) ** -es for c, t in ti.items() for g, (tj, es) in every.items()}
+    by_gene, by_cell = dropout.expected_dropout(m, fit)
+    assert table(by_gene, "gene_id", "p_sum") == pytest.approx({g: sum(p[c, g] for c in ti) for g in every})
+    assert table(by_cell, "cell_id", "p_sum") == pytest.approx({c: sum(p[c, g] for g in every) for c in ti})
