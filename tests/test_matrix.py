@@ -16,6 +16,7 @@ from tallyloom.plans import fixtures, flow, queries
 from tallyloom.sources.h5ad import balanced_ranges
 from tallyloom.sources.matrix import CountMatrix, read_matrix
 from tallyloom.sources.sinks import dense_rows, finished, stage, write_csv
+from tests.oracle import check
 
 
 def matrix(spark, entries, cells, genes=None):
@@ -456,6 +457,28 @@ def test_rounding_of_all_pairs(spark):
     assert all(repr(row["a"]) == repr(row["b"]) for row in t.collect())
 
 
+@pytest.fixture(scope="module")
+def many_cells(spark, tmp_path_factory):
+    """So many cells that no mean is above the trend's least: there is nothing to fit."""
+    folder = str(tmp_path_factory.mktemp("cells"))
+    lines = [(i % 4, i % 3, i % 2, 45.0 + i % 5, "R") for i in range(9)]
+    tables = {
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"),
+        "orders": spark.createDataFrame([(i, i) for i in range(4)], "o_orderkey long, o_custkey long"),
+        "customer": spark.range(200_000).select(F.col("id").alias("c_custkey")),
+        "supplier": spark.range(200_000).select(F.col("id").alias("s_suppkey")),
+        "part": spark.range(3).select(F.col("id").alias("p_partkey"), F.lit("p").alias("p_name")),
+    }
+    for name, t in tables.items():
+        t.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["dropout_z_empty", "dropout_test_empty", "select_dropout", "volcano", "volcano_labels", "model_comparison", "model_errors", "dispersion_curve", "high_variance", "expected_dropout_gene", "expected_dropout_cell"])
+def test_queries_without_a_trend_give_what_sql_gives(spark, many_cells, name):
+    check(spark, many_cells, queries.QUERIES[name], queries.ORACLES[name])
+
+
 def test_hommel_of_many_tests_takes_no_quadratic_time():
     rng = np.random.default_rng(5)
     p = np.sort(rng.uniform(size=300_000) ** 3)
